@@ -11,6 +11,7 @@ from .bpe import bpe_digests
 from .common import table
 from .exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from .packing import pack
+from .quality import fit_quality, quality_rules
 from .simhash import simhash_components
 
 
@@ -30,6 +31,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -38,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_bpe": op3_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_quality": op7_quality,
     "op10_packing": op10_packing,
 }
 
