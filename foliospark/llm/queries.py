@@ -13,6 +13,7 @@ from .exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from .packing import pack
 from .quality import fit_quality, quality_rules
 from .simhash import simhash_components
+from .suffix_dedup import repeat_digests
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_quality": op7_quality,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_packing": op10_packing,
 }
 
