@@ -12,6 +12,7 @@ from .bpe import bpe_digests
 from .chat import chat_digests, format_chats
 from .common import shared_dir, table
 from .exact_dedup import EXACT_DEDUP_SQL, exact_dedup
+from .html_extract import extract_main
 from .packing import pack
 from .quality import fit_quality, quality_rules
 from .simhash import simhash_components
@@ -45,6 +46,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(chats.unionByName(added)))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main(table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_chat": op5_chat,
+    "op6_html": op6_html,
     "op7_quality": op7_quality,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_warc": op9_warc,
