@@ -13,6 +13,7 @@ from .chat import chat_digests, format_chats
 from .common import shared_dir, table
 from .exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from .html_extract import extract_main
+from .licenses import LICENSES_SQL, as_files, scan_licenses
 from .packing import pack
 from .quality import fit_quality, quality_rules
 from .simhash import simhash_components
@@ -24,6 +25,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = as_files(table(spark, sf_dir, "documents"))
+    return files.select("doc_id", "path").join(scan_licenses(files), "path")
+
+
 #: The executors open it, so it names a file that every machine has.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -71,6 +77,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_licenses": op2_licenses,
     "op3_bpe": op3_bpe,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_chat": op5_chat,
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_licenses": LICENSES_SQL,
     "op4_exact_dedup": EXACT_DEDUP_SQL,
     "op9_warc": WARC_SQL,
 }
