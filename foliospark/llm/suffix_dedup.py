@@ -140,6 +140,23 @@ def held_by_several(blobs: list[bytes], doc_parts: int) -> Iterator[tuple[int, b
         yield part, packed[keep[places]].tobytes()
 
 
+def address(th: np.ndarray, row: np.ndarray, blobs: list[bytes], doc_parts: int) -> list[tuple[int, bytes]]:
+    """``(anchor, text)`` entries as ``(anchor, row)`` entries of the texts' rows, by document part."""
+    if not blobs or not len(th):
+        return []
+    packed = np.concatenate([np.frombuffer(b, np.uint8) for b in blobs]).reshape(-1, 11)
+    short = th & np.uint64(_ROW_BITS)
+    order = np.argsort(short, kind="stable")
+    short, row = short[order], row[order] & np.uint64(_ROW_BITS)
+    asked = from_low_bytes(packed[:, 6:].tobytes(), 5)
+    lo, hi = np.searchsorted(short, asked, "left"), np.searchsorted(short, asked, "right")
+    entry = np.repeat(np.arange(len(asked)), hi - lo)
+    nth = np.arange(len(entry)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+    target = row[lo[entry] + nth]
+    out = np.concatenate([packed[entry, :6], np.frombuffer(low_bytes(target, 5), np.uint8).reshape(-1, 5)], axis=1)
+    return [(part, out[at].tobytes()) for part, at in by_part((target % np.uint64(doc_parts)).astype(np.int64))] if len(out) else []
+
+
 # -- pieces of text and their families -------------------------------------------------------
 
 ENTRY = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("row", "<u8"), ("start", "<u4"), ("size", "<u4")])
@@ -150,10 +167,10 @@ def row_key(row: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return (row * np.uint64(_MIX[0]) ^ anchor) * np.uint64(_MIX[1])
 
 
-def shared_pieces(rows: np.ndarray, docs: np.ndarray, texts: list[bytes], answers: list[bytes], frequent: np.ndarray):
+def shared_pieces(rows: np.ndarray, docs: np.ndarray, texts: list[bytes], answers: list[bytes], frequent: np.ndarray, twins: np.ndarray):
     """Pieces around shared anchors, equal ones of a part once, and spans settled on the way.
 
-    Returns ``(entries, texts, spans)``. Of equal pieces under one anchor only those of the
+    ``twins`` are the rows whose whole text a smaller document has: all of it goes. Returns ``(entries, texts, spans)``. Of equal pieces under one anchor only those of the
     smallest document are passed on: the others repeat it, so their windows go.
     """
     known = np.zeros(0, np.uint64)
@@ -161,6 +178,9 @@ def shared_pieces(rows: np.ndarray, docs: np.ndarray, texts: list[bytes], answer
         packed = np.concatenate([np.frombuffer(b, np.uint8) for b in answers]).reshape(-1, 11)
         known = np.sort(row_key(from_low_bytes(packed[:, 6:].tobytes(), 5), from_low_bytes(packed[:, :6].tobytes(), 6)))
     found: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+    gone = np.isin(rows, twins)
+    done = [(rows[k], 0, len(texts[k])) for k in np.flatnonzero(gone) if len(texts[k]) >= MATCH]
+    texts = [b"" if g else t for g, t in zip(gone.tolist(), texts)]
     for first_doc, data, ends in pieces(texts):
         anchor, owner, start, size = anchor_runs(data, ends)
         if not len(anchor):
@@ -182,7 +202,7 @@ def shared_pieces(rows: np.ndarray, docs: np.ndarray, texts: list[bytes], answer
                     found.setdefault((xxhash.xxh64_intdigest(window), window), []).append((who, place + j, 1))
             else:
                 found.setdefault((int(anchor[k]), raw[s : s + n + MATCH - 1]), []).append((who, place, n))
-    entries, kept, spans = [], [], []
+    entries, kept, spans = [], [], done
     for (anchor, text), places in found.items():
         least = min(docs[who] for who, _, _ in places)
         for who, place, n in places:
@@ -271,13 +291,14 @@ def repeated_spans(blobs: list[bytes]) -> np.ndarray:
 
     def settle(todo: list[tuple[int, bytes]], least: list[np.ndarray]) -> None:
         for key, low in zip(todo, least):
+            lowest, highest = int(low.min()), int(low.max())
             for _, doc, row, start, size in distinct[key]:
-                goes = np.flatnonzero(low < doc)
-                if not len(goes):
+                if doc <= lowest:
                     continue
-                if len(goes) == size:
+                if doc > highest:
                     spans.append((row, start, start + size + MATCH - 1))
                     continue
+                goes = np.flatnonzero(low < doc)
                 cuts = np.flatnonzero(np.diff(goes) > 1)
                 for x, y in zip(goes[np.append(0, cuts + 1)].tolist(), goes[np.append(cuts, len(goes) - 1)].tolist()):
                     spans.append((row, start + x, start + y + MATCH))
@@ -287,8 +308,9 @@ def repeated_spans(blobs: list[bytes]) -> np.ndarray:
     for anchor, texts in by_anchor.items():
         keys = [(anchor, t) for t in texts]
         if len(texts) == 1:
-            low = min(e[1] for e in distinct[keys[0]])
-            settle(keys, [np.full(len(texts[0]) - MATCH + 1, low, np.int64)])
+            held_by = distinct[keys[0]]
+            low = min(e[1] for e in held_by)
+            spans += [(row, start, start + size + MATCH - 1) for _, doc, row, start, size in held_by if doc > low]
             continue
         size = sum(map(len, texts))
         if todo and held + size > SHARD_BYTES:
@@ -352,7 +374,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     row = docs.toDF(*own)
     doc_c, text_c = own[docs.columns.index(id_col)], own[docs.columns.index(text_col)]
     base = row.withColumns({"doc": F.coalesce(F.col(doc_c).cast("long"), F.lit(NULL_ID)), "text": F.coalesce(F.col(text_c).cast("string"), F.lit(""))})
-    base = base.withColumn("row", F.xxhash64("doc", "text")).drop(text_c)
+    base = base.withColumns({"row": F.xxhash64("doc", "text"), "th": F.xxhash64("text")}).drop(text_c)
     parts, rows = _parts(base.select("text"))
     frequent = _frequent(base.select("row", "text"), rows)
     often = spark.sparkContext.broadcast(frequent)
@@ -360,7 +382,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.encode() for t in batch.column("text").to_pylist()]
-            ids = batch.column("row").to_numpy().view(np.uint64)
+            ids = batch.column("th").to_numpy().view(np.uint64)
             for first_doc, data, ends in pieces(texts):
                 anchor, owner, _, _ = anchor_runs(data, ends)
                 if not len(anchor):
@@ -377,10 +399,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def answer(group: pa.Table) -> pa.Table:
         out = list(held_by_several(group.column("blob").to_pylist(), parts))
-        return pa.table({"doc_part": pa.array([p for p, _ in out], pa.int64()), "blob": pa.array([b for _, b in out], pa.binary())})
-
-    answers = base.select("row", "text").mapInArrow(ask, "part long, blob binary").groupBy("part").applyInArrow(answer, "doc_part long, blob binary")
-    dealt = base.withColumn("doc_part", F.pmod(F.col("row").bitwiseAND(F.lit(_ROW_BITS)), F.lit(parts)).cast("long"))
+        return pa.table({"part": pa.array([p for p, _ in out], pa.int64()), "blob": pa.array([b for _, b in out], pa.binary())})
+
+    def part_by(c: str):
+        return F.pmod(F.col(c).bitwiseAND(F.lit(_ROW_BITS)), F.lit(parts)).cast("long")
+
+    # Anchors are asked for by text, so copies of a whole text do not make its anchors shared;
+    # the answer goes to the row with the smallest id, and its copies are settled at once.
+    told = base.select("th", "text").mapInArrow(ask, "part long, blob binary").groupBy("part").applyInArrow(answer, "part long, blob binary")
+    named = base.select(F.md5(F.col("text").cast("binary")).alias("md"), "th", "row", "doc")
+    firsts = named.groupBy("md", "th").agg(F.min(F.struct("doc", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
+    keepers = firsts.select(part_by("th").alias("part"), "th", F.col("first.row").alias("row"))
+
+    def readdress(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = address(left.column("th").to_numpy().view(np.uint64), left.column("row").to_numpy().view(np.uint64), right.column("blob").to_pylist(), parts)
+        return pa.table({"doc_part": pa.array([p for p, _ in out], pa.int64()), "kind": pa.array([0] * len(out), pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
+
+    answers = keepers.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(readdress, "doc_part long, kind int, blob binary")
+    copies = named.join(firsts.where("n > 1").select("md", F.col("first.doc").alias("least")), "md").where("doc > least")
+    copies = copies.select(part_by("row").alias("doc_part"), F.lit(1).alias("kind"), F.unhex(F.lpad(F.hex("row"), 16, "0")).alias("blob"))
+    answers = answers.union(copies)
+    dealt = base.drop("th").withColumn("doc_part", part_by("row"))
     dealt = dealt.repartition(max(parallelism(spark), 1), "doc_part")
 
     def collect(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -388,7 +427,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if left.num_rows:
             ids = left.column("row").to_numpy().view(np.uint64)
             texts = [t.encode() for t in left.column("text").to_pylist()]
-            entries, kept, spans = shared_pieces(ids, left.column("doc").to_numpy(), texts, right.column("blob").to_pylist(), often.value)
+            kinds, blobs = right.column("kind").to_pylist(), right.column("blob").to_pylist()
+            twins = np.sort(np.frombuffer(b"".join(b for k, b in zip(kinds, blobs) if k == 1), ">u8").astype(np.uint64))
+            entries, kept, spans = shared_pieces(ids, left.column("doc").to_numpy(), texts, [b for k, b in zip(kinds, blobs) if k == 0], often.value, twins)
             if len(entries):
                 for p, at in by_part(part_of(entries["anchor"], parts)):
                     out.append((p, 0, pack_pieces(entries[at], [kept[k] for k in at])))
