@@ -358,9 +358,12 @@ def _frequent(docs: DataFrame, rows: int) -> np.ndarray:
     return np.sort(np.array([r.h for r in found.select("h").collect()], np.uint64))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
     """``docs`` with ``kept_bytes, n_bytes, n_removed, n_spans`` added to its columns.
 
+    With ``as_text`` the first is ``kept_text``, a string without the bytes of characters
+    that were cut in two.
+
     Texts count as UTF-8 bytes. A byte goes when a string of ``MATCH`` bytes that covers it
     starts in a document with a smaller id too, judged on the texts as they came in; what is
     left is joined in ``kept_bytes``.
@@ -448,7 +451,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     spans_ = pieces_.groupBy("family").applyInArrow(match, "doc_part long, blob binary")
     through = [c for c in own if c != text_c]
-    schema = T.StructType([*(f for f in row.schema.fields if f.name != text_c), *(T.StructField(n, t) for n, t in (("text", T.StringType()), ("kept_bytes", T.BinaryType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType())))])
+    kept_name = "kept_text" if as_text else "kept_bytes"
+    schema = T.StructType([*(f for f in row.schema.fields if f.name != text_c), *(T.StructField(n, t) for n, t in (("text", T.StringType()), (kept_name, T.StringType() if as_text else T.BinaryType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType())))])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         blobs = right.column("blob").to_pylist()
@@ -468,13 +472,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             else:
                 runs.append(0)
                 removed.append(0)
-            kept.append(data)
-        added = [left.column("text"), pa.array(kept, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())]
-        return pa.table([*(left.column(c) for c in through), *added], names=[*through, "text", "kept_bytes", "n_bytes", "n_removed", "n_spans"])
+            kept.append(data.decode("utf-8", "ignore") if as_text else data)
+        added = [left.column("text"), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())]
+        return pa.table([*(left.column(c) for c in through), *added], names=[*through, "text", kept_name, "n_bytes", "n_removed", "n_spans"])
 
     out = dealt.groupBy("doc_part").cogroup(spans_.groupBy("doc_part")).applyInArrow(cut, schema)
     names = {c: n for c, n in zip(own, docs.columns)}
-    return out.select(*(F.col("text" if c == text_c else c).alias(names[c]) for c in own), "kept_bytes", "n_bytes", "n_removed", "n_spans")
+    return out.select(*(F.col("text" if c == text_c else c).alias(names[c]) for c in own), kept_name, "n_bytes", "n_removed", "n_spans")
 
 
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
