@@ -10,7 +10,12 @@ import numpy as np
 
 #: Elements whose content is never text of the page.
 _RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "title", "textarea", "select", "math", "canvas", "audio", "video")
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(" + "|".join(_RAW) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+#: Possessive throughout, and what is left open runs to the end: linear on any input.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(" + "|".join(_RAW) + r")(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)",
+    re.S | re.I,
+)
 _ATTRIBUTES = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
 _SPACE = re.compile(r"\s+")
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
