@@ -29,7 +29,7 @@ BUCKETS = 256
 #: Tokens of a range of the curve, about; ranges bound the memory of a task.
 RANGE_TOKENS = 16_000_000
 #: Text handled at once.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_500_000
 
 
 class FastEncoder:

@@ -27,7 +27,7 @@ FIT_ROWS = 20_000
 #: Cuts this close to the least error count as equally good.
 SLACK = 0.02
 #: Text handled at once.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_500_000
 
 
 # -- n-grams ---------------------------------------------------------------------------------

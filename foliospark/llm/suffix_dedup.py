@@ -25,9 +25,9 @@ from .suffix_arrays import common_prefixes, suffix_array
 
 MATCH, GRAM = 50, 20
 #: Text of a document part and of an anchor part, about.
-PART_BYTES = 16_000_000
+PART_BYTES = 8_000_000
 #: Text whose anchors are found at once, and text of a shard's suffix array.
-BATCH_BYTES, SHARD_BYTES = 2_000_000, 2_000_000
+BATCH_BYTES, SHARD_BYTES = 1_000_000, 1_500_000
 #: Anchors held by this share of about ``PROBE_ROWS`` documents are routed window by window.
 PROBE_ROWS, FREQUENT_SHARE = 20_000, 0.005
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
