@@ -6,29 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions import patterns as P
 from ..functions import text as X
-from .sections import PREAMBLE
 
 DEPTH_LIMIT = 40
 
 
-def shown_title(title: Column) -> Column:
-    """Preambles and empty titles have no header; a bare number says so."""
-    t = X.strip(F.coalesce(title, F.lit("")))
-    return F.when((t == "") | t.startswith("[preamble"), "no header").when(t.rlike(P.NUMBER_ONLY), F.concat(t, F.lit(" (no header)"))).otherwise(t)
+# How outlines show titles and nesting.
+NUMBER_TITLE = r"^\d+(?:\.\d+)*\.?$"
+CHILD_MARK, LINE_LIMIT = "|_ ", 150
 
 
 def lacks_header(title: Column) -> Column:
+    """Preambles, empty titles, whole documents and bare numbers."""
+    t = X.strip(F.coalesce(title, F.lit("")))
+    return (t == "") | F.lower(t).startswith("[preamble") | (F.lower(t) == "no header") | t.rlike(NUMBER_TITLE)
+
+
+def shown_title(title: Column) -> Column:
     t = X.strip(F.coalesce(title, F.lit("")))
-    return (t == "") | (t == PREAMBLE) | t.startswith("[preamble") | t.rlike(P.NUMBER_ONLY) | (t == "no header")
+    numbered = F.concat(F.regexp_replace(t, r"\.+$", ""), F.lit(".   (no header)"))
+    return F.when(t.rlike(NUMBER_TITLE), numbered).when(lacks_header(title), "no header").otherwise(t)
 
 
 def payload(tables: Column, figures: Column) -> Column:
     """``[2 tables, 1 picture]`` or nothing."""
     some = lambda n, word: F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s")))
     parts = F.array_compact(F.array(some(F.size(tables), "table"), some(F.size(figures), "picture")))
-    return F.when(F.size(parts) > 0, F.concat(F.lit("  ["), F.array_join(parts, ", "), F.lit("]"))).otherwise("")
+    return F.when(F.size(parts) > 0, F.concat(F.lit("   ["), F.array_join(parts, ", "), F.lit("]"))).otherwise("")
 
 
 def with_paths(sections: DataFrame) -> DataFrame:
@@ -51,8 +55,9 @@ def with_paths(sections: DataFrame) -> DataFrame:
 
 def outline_lines(sections: DataFrame) -> DataFrame:
     """``(doc_key, line_no, depth, line)``: one line a section, children under their parents."""
-    mark = F.when(F.col("depth") > 0, "- ").otherwise("")
-    text = F.concat(F.repeat(F.lit("  "), F.col("depth")), mark, F.substring(shown_title(F.col("title")), 1, 150), payload(F.col("tables"), F.col("figures")))
+    mark = F.when(F.col("depth") > 0, CHILD_MARK).otherwise("")
+    text = F.substring(F.concat(F.repeat(F.lit("  "), F.col("depth")), mark, shown_title(F.col("title"))), 1, LINE_LIMIT)
+    text = F.concat(text, payload(F.col("tables"), F.col("figures")))
     order = (F.row_number().over(W.partitionBy("doc_key").orderBy("path")) - 1).cast("int")
     return with_paths(sections).select("doc_key", order.alias("line_no"), "depth", text.alias("line"))
 
