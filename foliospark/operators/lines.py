@@ -35,8 +35,12 @@ def after():
 
 def explode_lines(docs: DataFrame, text_col: str = "masked") -> DataFrame:
     """``(doc_key, ..., line_no, line)``; other columns are kept."""
-    kept = [c for c in docs.columns if c not in ("raw", "masked", "blocks")]
-    return docs.select(*kept, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
+    kept = [c for c in docs.columns if c not in ("raw", "masked")]
+    out = docs.select(*kept, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
+    if "blocks" not in kept:
+        return out
+    # The masked blocks travel once a document, on its first line.
+    return out.withColumn("blocks", F.when(F.col("line_no") == 0, F.col("blocks")))
 
 
 def contents_lines(lines: DataFrame) -> DataFrame:

@@ -107,33 +107,48 @@ def _kept_caps(found: Column, line_no: Column, spans: Column) -> Column:
     return F.array_contains(F.aggregate(found, zero, step, lambda acc: acc["kept"]), line_no)
 
 
-def marks(lines: DataFrame) -> DataFrame:
-    """``(doc_key, line_no, title, rule)`` of every line that opens a section.
+def mark_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``title`` and ``rule`` where a line opens a section, null elsewhere.
 
     ``lines`` carry the flags, ``allow`` and ``single_series``. Repeats: block leads and bold
     lines share one memory of titles seen in the classes that read layout blocks; capitals
     have their own; then any mark that continues the one before it under its key goes, and
-    of a dense run of inferred marks the first stays.
+    of a dense run of inferred marks the first stays. Marks that go become null, so lines
+    are computed once and never joined with themselves.
     """
-    out = shapes(lines).withColumn("claim", cascade()).where("claim IS NOT NULL").select(
-        "doc_key", "line_no", "after_break", "furniture", "blocklead", "repeats", F.col("claim.rule").alias("rule"), F.col("claim.title").alias("title")
+    live = F.col("rule").isNotNull()
+
+    def without(df: DataFrame, gone: Column) -> DataFrame:
+        df = df.withColumn("rule", F.when(~F.coalesce(gone, F.lit(False)), F.col("rule")))
+        return df.withColumn("key", F.when(live, F.col("key")))
+
+    out = shapes(lines).withColumn("claim", cascade()).select(
+        "doc_key", "line_no", "line", "stripped", "blocks", "after_break", "furniture", "blocklead", "repeats", F.col("claim.rule").alias("rule"), F.col("claim.title").alias("title")
     )
     out = out.withColumns({"key": T.fold(F.col("title")), "cont": T.says_continued(F.col("title"))})
-    out = out.withColumn("lead", F.col("rule").isin("block-lead", "bold-lead", "bold-only") & F.col("blocklead"))
-    furniture = F.col("rule").isin("bold-lead", "bold-only") & F.col("blocklead") & F.array_contains("furniture", F.col("key"))
-    money = (F.col("rule") == "bold-lead") & F.col("blocklead") & F.col("title").rlike(P.TRAILING_MONEY)
-    out = out.where(~(furniture | money))
+    leads = F.col("blocklead") & F.col("rule").isin("block-lead", "bold-lead", "bold-only")
+    furniture = leads & (F.col("rule") != "block-lead") & F.array_contains("furniture", F.col("key"))
+    money = leads & (F.col("rule") == "bold-lead") & F.col("title").rlike(P.TRAILING_MONEY)
+    out = without(out, furniture | money).drop("furniture").withColumn("lead", F.coalesce(leads, F.lit(False)))
     nth = F.row_number().over(W.partitionBy("doc_key", "key", "lead").orderBy("line_no"))
     again = F.col("lead") & (nth > 1) & (~F.col("repeats") | F.col("cont"))
-    caps = F.when(F.col("rule") == "caps", F.struct("line_no", "cont", F.col("after_break").alias("brk")))
+    is_caps = F.col("rule") == "caps"
     group = W.partitionBy("doc_key", "key")
-    kept = F.when(F.col("rule") == "caps", _kept_caps(F.array_sort(F.collect_list(caps).over(group)), F.col("line_no"), ~F.col("repeats"))).otherwise(True)
-    out = out.withColumns({"_again": again, "_caps": kept}).where("NOT _again AND _caps").drop("_again", "_caps")
-    gap = F.col("line_no") - F.lag("line_no").over(group.orderBy("line_no"))
-    near = ~F.col("repeats") & ((gap <= P.NEAR_LINES) | ((gap <= P.PAGE_SPAN) & F.col("after_break")))
-    out = out.withColumn("_dup", gap.isNotNull() & (F.col("cont") | near)).where("NOT _dup").drop("_dup")
-    order = W.partitionBy("doc_key").orderBy("line_no")
-    joins = (F.col("rule") == "inferred") & (F.lag("rule").over(order) == "inferred") & (F.col("line_no") - F.lag("line_no").over(order) <= 2)
+    caps = F.array_sort(F.collect_list(F.when(is_caps, F.struct("line_no", "cont", F.col("after_break").alias("brk")))).over(group))
+    out = out.withColumns({"_again": again, "_caps": F.when(is_caps, caps)})
+    out = without(out, F.col("_again") | (is_caps & ~_kept_caps(F.col("_caps"), F.col("line_no"), ~F.col("repeats")))).drop("_again", "_caps")
+    gap = F.when(live, F.col("line_no") - F.lag("line_no").over(group.orderBy("line_no")))
+    out = out.withColumn("_gap", gap)
+    near = ~F.col("repeats") & ((F.col("_gap") <= P.NEAR_LINES) | ((F.col("_gap") <= P.PAGE_SPAN) & F.col("after_break")))
+    out = without(out, F.col("_gap").isNotNull() & (F.col("cont") | near)).withColumn("_live", live)
+    order = W.partitionBy("doc_key", "_live").orderBy("line_no")
+    joins = live & (F.col("rule") == "inferred") & (F.lag("rule").over(order) == "inferred") & (F.col("line_no") - F.lag("line_no").over(order) <= 2)
     out = out.withColumn("_j", F.coalesce(joins, F.lit(False))).withColumn("_run", F.sum((~F.col("_j")).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    out = out.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("doc_key", "_run"))).where("NOT (_j AND _n >= 3)")
-    return out.select("doc_key", "line_no", "title", "rule")
+    out = out.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("doc_key", "_live", "_run")))
+    out = without(out, F.col("_j") & (F.col("_n") >= 3))
+    return out.select("doc_key", "line_no", "line", "stripped", "blocks", F.when(live, F.col("title")).alias("title"), "rule")
+
+
+def marks(lines: DataFrame) -> DataFrame:
+    """``(doc_key, line_no, title, rule)`` of the lines that open a section."""
+    return mark_lines(lines).where("rule IS NOT NULL").select("doc_key", "line_no", "title", "rule")

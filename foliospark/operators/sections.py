@@ -35,24 +35,24 @@ def number_of(title: Column) -> Column:
     return F.coalesce(X.first(title, P.NUMBER), X.first(title, P.WORD_NUMBER))
 
 
-def assemble(lines: DataFrame, marks: DataFrame) -> DataFrame:
+def assemble(marked: DataFrame) -> DataFrame:
     """Sections in order: each runs from its mark to the next, its own line included.
 
     Text before the first mark is a preamble; a document without marks is one section.
     """
-    flagged = lines.select("doc_key", "line_no", "line", "stripped").join(marks, ["doc_key", "line_no"], "left")
     by_line = doc().orderBy("line_no")
-    out = flagged.withColumn("seg", F.sum(F.col("rule").isNotNull().cast("int")).over(by_line.rowsBetween(W.unboundedPreceding, 0)))
+    out = marked.withColumn("seg", F.sum(F.col("rule").isNotNull().cast("int")).over(by_line.rowsBetween(W.unboundedPreceding, 0)))
     parts = out.groupBy("doc_key", "seg").agg(
         F.first("title", True).alias("title"),
         F.first("rule", True).alias("rule"),
+        F.first("blocks", True).alias("blocks"),
         F.array_sort(F.collect_list(F.struct("line_no", "stripped", "line"))).alias("held"),
     )
     spaced = X.strip(F.array_join(F.transform("held", lambda x: x["stripped"]), " "))
     broken = X.strip(F.array_join(F.transform("held", lambda x: x["line"]), "\n"))
     whole = F.array_join(F.transform(F.filter("held", lambda x: (x["stripped"] != "") & (x["stripped"] != P.BLOCK)), lambda x: x["line"]), "\n")
     last = F.max("seg").over(doc())
-    parts = parts.withColumn("alone", last == 0)
+    parts = parts.withColumns({"alone": last == 0, "blocks": F.first("blocks", True).over(doc())})
     text = F.when(F.col("alone"), whole).when(F.col("seg") == 0, broken).otherwise(spaced)
     parts = parts.withColumn("text", text).where("seg > 0 OR alone OR text <> ''")
     parts = parts.withColumns(
@@ -62,7 +62,7 @@ def assemble(lines: DataFrame, marks: DataFrame) -> DataFrame:
         }
     )
     order = (F.row_number().over(W.partitionBy("doc_key").orderBy("seg")) - 1).alias("order")
-    parts = parts.select("doc_key", order, "title", "rule", "text", X.word_count(F.col("text")).alias("words"))
+    parts = parts.select("doc_key", order, "title", "rule", "text", "blocks", X.word_count(F.col("text")).alias("words"))
     return parts.withColumn("number", F.when(F.col("rule") != "whole-document", number_of(F.col("title")))).withColumn("id", T.section_id(F.col("title")))
 
 
@@ -210,12 +210,11 @@ def sectionise(docs: DataFrame, text_col: str = "raw") -> DataFrame:
     full, tables, figures``. Null text is empty: one section. ``doc_key`` must be unique.
     """
     ready = prepared(docs, text_col)
-    lines = document_lines(ready)
-    found = assemble(lines, rules.marks(lines))
+    found = assemble(rules.mark_lines(document_lines(ready)))
     found = nest_under_attachments(name_long_untitled(collapse_label_runs(nest_lettered(nest_numbers(found)))))
     found = container_only(found)
     full = masking.restored(F.regexp_replace("text", r"(?m)^\x00BLK\x00$\n?", ""), F.col("blocks"))
-    out = found.join(ready.select("doc_key", "blocks"), "doc_key").withColumn("title", X.strip(F.replace("title", F.lit(P.BLOCK), F.lit("")))).withColumn("full", full)
+    out = found.withColumn("title", X.strip(F.replace("title", F.lit(P.BLOCK), F.lit("")))).withColumn("full", full)
     out = out.withColumns({"tables": masking.section_tables(F.col("full")), "figures": masking.section_figures(F.col("full"))})
     out = out.withColumn("text", masking.without_bare_number(F.col("title"), masking.section_prose(F.col("full")))).withColumn("words", X.word_count(F.col("text")))
     out = drop_captions(out.drop("blocks"))

@@ -12,6 +12,7 @@ from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import chunking, figures, safety, tables, topics, verify
 from ..operators.sections import sectionise
+from ..storage import durable
 from . import scorers
 
 
@@ -74,7 +75,7 @@ def drafted(sections: DataFrame, options: Options, faithful: Callable | None, ab
 
 def section_index(docs: DataFrame, options: Options = Options(), faithful: Callable | None = None, abstractive: Callable | None = None) -> DataFrame:
     """The index row of every section of ``docs(doc_key, raw)``; see :func:`routed` for routes."""
-    base = routed(sectionise(docs), options)
+    base = durable(routed(sectionise(docs), options))  # read by every route below
     reason = F.concat(F.lit("section is "), F.col("words").cast("string"), F.lit(" words; quoting it is more faithful than rewording it and no longer"))
     short = base.where("route = 'extractive-short'").withColumns({"summary": safety.verbatim(F.col("text"), 3), "chosen": F.lit("extractive-short"), "reason": reason})
     short = short.withColumn("summary_extractive", F.col("summary"))
