@@ -426,3 +426,104 @@ def pick_docs(spark, sf):
 def doc_meta(spark, sf):
     docs = D.order_md(spark, sf)
     return reports.doc_meta(index.section_index(docs), docs).select("doc_key", F.col("tables").cast("int").alias("tables"), F.col("sections").cast("int").alias("sections"))
+
+
+# -- rule cascade: documents of each class, and the sections they are made of ------------------
+
+_BODY = "The parties have agreed on all of the terms that are set out in this part of it.\n\n"
+#: The third article is long, so the short ones are no run of six that would be collapsed.
+_ARTICLES = "".join(f"ARTICLE {n}\n{t}\n\n{_BODY * (6 if n == 'III' else 1)}" for n, t in (("I", "DEFINITIONS"), ("II", "SALE OF @U"), ("III", "PRICE"), ("IV", "TERM"), ("V", "NOTICES")))
+#: Case: text with the part's name put in for @N and @U, and (title, rule, parent) of its sections.
+CASES: dict[str, tuple[str, list[tuple[str, str, int | None]]]] = {
+    "letter": ("Dear Customer\n\nThe @N is on its way.\n\nSincerely,\n\nThe Seller\n", [("no header", "whole-document", None)]),
+    "headings": (
+        '# One\n\n# Two\n\n# Three\n\n# Four\n\n# @N\n\n(a) **Scope** applies to all.\n(b) "Goods" means all of it.\n',
+        [(t, "heading", None) for t in ("One", "Two", "Three", "Four", "@N")] + [("(a) Scope", "lettered", 4), ("(b) Goods", "lettered", 4)],
+    ),
+    "sparse": (
+        "# Top\n\n# @N\n\n<a id='a1'></a>\nMarket Outlook Now\n" + _BODY + "<a id='a2'></a>\nMarket Outlook Now\n" + _BODY,
+        [("Top", "heading", None), ("@N", "heading", None), ("Market Outlook Now", "block-lead", None)],
+    ),
+    "flat": (
+        "@U TERMS\n\n" + _BODY + "**Delivery**\n\n" + _BODY + "**Price:** the price is agreed in writing by both of the parties here.\n\nReturns:\n\n" + _BODY + "2.1 Late Payment. Interest is due on all sums that are paid too late.\n",
+        [("@U TERMS", "caps", None), ("Delivery", "bold-only", None), ("Price", "bold-lead", None), ("Returns", "label", None), ("2.1 Late Payment", "decimal", None)],
+    ),
+    "clauses": (
+        _ARTICLES + "EXHIBIT A\n\n" + _BODY + "IN WITNESS WHEREOF, the parties sign.\n\nBy: A\nName: B\nTitle: C\n",
+        [("ARTICLE I DEFINITIONS", "caps", None), ("ARTICLE II SALE OF @U", "caps", None), ("ARTICLE III PRICE", "caps", None), ("ARTICLE IV TERM", "caps", None), ("ARTICLE V NOTICES", "caps", None), ("EXHIBIT A", "caps", None), ("signature block", "signature", 5)],
+    ),
+    "contents": ("Contents\n" + "".join(f"Alpha Item .... {k}\n" for k in range(8)) + "\n**@N**\n\n" + _BODY, [("Contents", "inferred", None), ("@N", "bold-only", None)]),
+}
+
+
+def case_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every case for every part."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.initcap("p_name").alias("n"), F.upper("p_name").alias("u"))
+    texts = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(t).alias("t")) for c, (t, _) in CASES.items()))
+    rows = parts.select("*", F.inline(texts))
+    return rows.select(F.concat_ws("__", "c", F.col("p_partkey").cast("string")).alias("doc_key"), F.replace(F.replace("t", F.lit("@N"), F.col("n")), F.lit("@U"), F.col("u")).alias("raw"))
+
+
+def _case_values() -> str:
+    quote = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return ", ".join(f"({quote(c)}, {k}, {quote(t)}, {quote(r)}, {quote(p)})" for c, (_, want) in CASES.items() for k, (t, r, p) in enumerate(want))
+
+
+_CASE_SQL = f"""
+WITH n AS (SELECT p_partkey, upper(p_name) AS u, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS n FROM part),
+w(c, ord, title, rule, parent) AS (VALUES {_case_values()}),
+s AS (SELECT c || '__' || p_partkey AS doc_key, c, ord, replace(replace(title, '@N', n), '@U', u) AS title, rule, CAST(parent AS INT) AS parent FROM n, w)
+"""
+
+
+@query(_CASE_SQL + 'SELECT doc_key, CAST(ord AS INT) AS "order", title, rule, parent FROM s')
+def rule_cascade(spark, sf):
+    return sections.sectionise(case_documents(spark, sf)).select("doc_key", "order", "title", "rule", "parent")
+
+
+@query(_CASE_SQL + "SELECT rule, count(*) AS n FROM s GROUP BY 1")
+def rule_counts(spark, sf):
+    return sections.sectionise(case_documents(spark, sf)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_CASE_SQL + "SELECT DISTINCT doc_key, CASE c WHEN 'contents' THEN 'flat' ELSE c END AS regime FROM s")
+def regime_cases(spark, sf):
+    return survey.signals(case_documents(spark, sf)).select("doc_key", "regime")
+
+
+def _case_lines(spark, sf) -> DataFrame:
+    from .operators import lines
+
+    return lines.document_lines(sections.prepared(case_documents(spark, sf)))
+
+
+@query(_CASE_SQL + "SELECT DISTINCT doc_key, 8 AS toc_lines FROM s WHERE c = 'contents'")
+def toc_span(spark, sf):
+    return _case_lines(spark, sf).where("in_toc").groupBy("doc_key").agg(F.count(F.lit(1)).alias("toc_lines"))
+
+
+@query(_CASE_SQL + "SELECT DISTINCT doc_key, 1 AS starts FROM s WHERE c = 'clauses'")
+def signature_starts(spark, sf):
+    return _case_lines(spark, sf).where("is_signature").groupBy("doc_key").agg(F.count(F.lit(1)).alias("starts"))
+
+
+@query(_CASE_SQL + "SELECT doc_key, title AS line FROM s WHERE c = 'clauses' AND title LIKE 'ARTICLE %'")
+def join_numbers(spark, sf):
+    return _case_lines(spark, sf).where("line LIKE 'ARTICLE %'").select("doc_key", "line")
+
+
+@query(_CASE_SQL + "SELECT doc_key, title AS line FROM s WHERE rule = 'block-lead'")
+def block_leads(spark, sf):
+    from .operators import rules
+
+    return rules.marks(_case_lines(spark, sf)).where("rule = 'block-lead'").select("doc_key", F.col("title").alias("line"))
+
+
+@query(_CASE_SQL + "SELECT doc_key, count(*) AS lettered FROM s WHERE rule = 'lettered' AND parent = 4 GROUP BY 1")
+def nest_lettered(spark, sf):
+    return sections.sectionise(case_documents(spark, sf)).where("rule = 'lettered' AND parent = 4").groupBy("doc_key").agg(F.count(F.lit(1)).alias("lettered"))
+
+
+@query(_CASE_SQL + "SELECT doc_key, parent FROM s WHERE rule = 'signature'")
+def nest_attachments(spark, sf):
+    return sections.sectionise(case_documents(spark, sf)).where("rule = 'signature'").select("doc_key", "parent")
