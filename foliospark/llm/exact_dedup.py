@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from .common import NULL_ID
 
 #: Deleted before texts are compared.
-WHITE_SPACE = " \t\n\x0b\x0c\r"
+WHITE_SPACE = r"[ \t\n\x0b\f\r]+"
 
 
 def normalised(text: Column) -> Column:
     """The text without white space; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), WHITE_SPACE, "")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE_SPACE, "")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,17 +36,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col(id_col).alias("doc_id"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"),
         normalised(F.col(text_col)).alias("norm"),
-    ).withColumn("h128", F.unhex(F.md5(F.col("norm").cast("binary"))))
+    ).withColumn("sha", F.unhex(F.sha2("norm", 256)))
+    # The content hash is the first half of the digest that is reported anyway.
+    h128 = F.substring("sha", 1, 16).alias("h128")
     order = F.struct(F.col("points"), (-F.coalesce(F.col("doc_id"), F.lit(NULL_ID))).alias("neg_id"))
     groups = (
-        rows.groupBy("h128", "norm")
+        rows.groupBy(h128, "norm")
         .agg(F.count(F.lit(1)).alias("group_size"), F.max(order).alias("best"))
-        .select("h128", F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"), "group_size", "best")
+        .select(F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"), "group_size", "best")
     )
-    # The 384 bits of both hashes name the byte-compared group on the narrow side.
-    narrow = rows.select("doc_id", "points", "h128", F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"))
+    # The whole digest names the byte-compared group on the narrow side.
+    narrow = rows.select("doc_id", "points", "sha")
     keep = F.nullif(-F.col("best.neg_id"), F.lit(NULL_ID))
-    return narrow.join(groups, ["h128", "sha"]).select(
+    return narrow.join(groups, "sha").select(
         "doc_id",
         keep.alias("keep_id"),
         "group_size",
