@@ -72,7 +72,7 @@ def regime(spark, sf):
     return survey.signals(D.clause_md(spark, sf)).groupBy("regime").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@query("SELECT 'clause__' || o_custkey AS doc_key, 1.0 AS clause_cover FROM orders GROUP BY o_custkey")
+@query("SELECT 'clause__' || o_custkey AS doc_key, 1.0::DOUBLE AS clause_cover FROM orders GROUP BY o_custkey")
 def clause_cover(spark, sf):
     return survey.signals(D.clause_md(spark, sf)).select("doc_key", "clause_cover")
 

@@ -15,7 +15,9 @@ from ..sources.documents import doc_key
 def read_stream(spark: SparkSession, folder: str, most_files: int = 1000) -> DataFrame:
     """New ``folder/*/*.md`` files as ``(doc_key, doc_type, file, raw)``, a bounded number a batch."""
     files = spark.readStream.option("maxFilesPerTrigger", most_files).option("pathGlobFilter", "*.md").text(f"{folder.rstrip('/')}/*/", wholetext=True)
-    parts = F.split(F.col("_metadata.file_path"), "/")
+    # The path is a URI: a plus stands for itself there.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    parts = F.split(path, "/")
     out = files.select(F.col("value").alias("raw"), F.element_at(parts, -2).alias("doc_type"), F.element_at(parts, -1).alias("file")).where(~F.col("file").startswith("._"))
     return out.withColumn("doc_key", doc_key(F.col("doc_type"), F.col("file")))
 
