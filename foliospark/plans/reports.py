@@ -31,6 +31,37 @@ def doc_meta(index: DataFrame, docs: DataFrame) -> DataFrame:
     return out.withColumns({"money_real": F.coalesce(F.col("checked") - F.col("invented"), F.lit(0)), "money_invented": F.coalesce("invented", F.lit(0))}).drop("checked", "invented")
 
 
+def run_totals(meta: DataFrame) -> DataFrame:
+    """Sections, prose sections, tables, pictures and invented amounts of a whole run."""
+    return meta.agg(*(F.sum(c).alias(c) for c in ("sections", "prose", "tables", "pictures", "money_invented")))
+
+
+def outline_meta(stats: DataFrame, docs: DataFrame) -> DataFrame:
+    """Outline counts of each document beside the tables and pictures its source has."""
+    sources = docs.select("doc_key", F.regexp_count("raw", F.lit("<table")).alias("source_tables"), F.regexp_count("raw", F.lit("<::")).alias("source_pictures"))
+    return stats.join(sources, "doc_key")
+
+
+def parser_compare(index: DataFrame) -> DataFrame:
+    """Counts of each document by the parser that made its text, parsers side by side.
+
+    ``index(doc_key, parser, words, summary, tables, figures)`` holds the runs of all parsers.
+    """
+    size = lambda c: F.sum(F.coalesce(F.size(c), F.lit(0)))
+    facts = index.groupBy("doc_key", "parser").agg(
+        F.count(F.lit(1)).alias("sections"), F.count("summary").alias("prose"), F.sum("words").alias("words"), size("tables").alias("tables"), size("figures").alias("figures")
+    )
+    return facts.groupBy("doc_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("parser", F.struct("sections", "prose", "words", "tables", "figures").alias("facts"))))).alias("parsers"))
+
+
+def split_renders(index: DataFrame) -> DataFrame:
+    """``(doc_key, sections_text, summaries_text)``: section texts and summaries as two files."""
+    title = F.coalesce(F.nullif(X.strip(F.col("title")), F.lit("")), F.lit("(no header)"))
+    held = F.array_sort(F.collect_list(F.struct("order", title.alias("title"), F.coalesce("text", F.lit("")).alias("text"), "summary")))
+    part = lambda name: F.array_join(F.transform(F.filter("h", lambda x: x[name].isNotNull()), lambda x: F.concat(x["title"], F.lit("\n"), x[name])), "\n\n")
+    return index.groupBy("doc_key").agg(held.alias("h")).select("doc_key", part("text").alias("sections_text"), part("summary").alias("summaries_text"))
+
+
 def type_rollup(meta: DataFrame, *sums: str) -> DataFrame:
     """Sums by document type and in total, the total under a null type."""
     return meta.rollup("doc_type").agg(F.count(F.lit(1)).alias("docs"), *(F.sum(c).alias(c) for c in sums))

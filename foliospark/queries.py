@@ -428,6 +428,47 @@ def doc_meta(spark, sf):
     return reports.doc_meta(index.section_index(docs), docs).select("doc_key", F.col("tables").cast("int").alias("tables"), F.col("sections").cast("int").alias("sections"))
 
 
+@query("SELECT sum(20 + c_custkey % 7) AS sections, sum(c_nationkey) AS prose, count(*) AS tables, count(*) AS pictures, sum(c_custkey) AS money_invented FROM customer")
+def run_totals(spark, sf):
+    meta = table(spark, sf, "customer").select((F.lit(20) + F.col("c_custkey") % 7).alias("sections"), F.col("c_nationkey").alias("prose"), F.lit(1).alias("tables"), F.lit(1).alias("pictures"), F.col("c_custkey").alias("money_invented"))
+    return reports.run_totals(meta)
+
+
+@query("""
+SELECT o_custkey AS doc_key, count(*) FILTER (o_orderstatus = 'F') AS sections_a, count(*) FILTER (o_orderstatus <> 'F') AS sections_b,
+       count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority <> '5-LOW') AS prose_a FROM orders GROUP BY 1 HAVING sections_a > 0 AND sections_b > 0""")
+def parser_compare(spark, sf):
+    rows = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("doc_key"), F.when(F.col("o_orderstatus") == "F", "a").otherwise("b").alias("parser"), F.lit(1).alias("words"),
+        F.when(F.col("o_orderpriority") != "5-LOW", F.lit("s")).alias("summary"), F.array(F.lit("t")).alias("tables"), F.array().cast("array<string>").alias("figures"),
+    )
+    of = lambda p, f: F.col("parsers")[p][f]
+    out = reports.parser_compare(rows).where(F.size("parsers") == 2)
+    return out.select("doc_key", of("a", "sections").alias("sections_a"), of("b", "sections").alias("sections_b"), of("a", "prose").alias("prose_a"))
+
+
+@query("SELECT o_custkey AS doc_key, string_agg(o_orderpriority || chr(10) || 'text', chr(10) || chr(10) ORDER BY o_orderkey) AS summaries_text FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1")
+def split_renders(spark, sf):
+    rows = _index(spark, sf).withColumn("text", F.lit("body"))
+    return reports.split_renders(rows).where("summaries_text <> ''").select("doc_key", "summaries_text")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'statements' ELSE 'agreements' END AS value FROM part", "folder_doctype")
+def folder_doctype(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", topics.folder_doctype(F.when(F.col("p_size") > 25, "bills").otherwise("other")).alias("value"))
+
+
+@query("SELECT 'order__' || o_orderkey AS doc_key, CASE WHEN n > 0 THEN 1 ELSE 0 END AS source_tables, 0 AS source_pictures FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)")
+def outline_meta(spark, sf):
+    docs = D.order_md(spark, sf)
+    return reports.outline_meta(docs.select("doc_key"), docs)
+
+
+@query("SELECT o_custkey, 'order__' || o_orderkey AS doc_key FROM orders", "doc_key")
+def doc_keys(spark, sf):
+    return table(spark, sf, "orders").select("o_custkey", D.doc_key(F.lit("order"), built(F.col("o_orderkey").cast("string"), "!.md")).alias("doc_key"))
+
+
 # -- rule cascade: documents of each class, and the sections they are made of ------------------
 
 _BODY = "The parties have agreed on all of the terms that are set out in this part of it.\n\n"
