@@ -38,14 +38,23 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def check_plain(spec: dict, path: str) -> None:
+    if spec["normalizer"] is not None or spec["pre_tokenizer"].get("add_prefix_space") or spec["model"]["type"] != "BPE":
+        raise ValueError(f"{path} is not a plain byte-level BPE")
+
+
+def special_pattern(special: dict[str, int]) -> regex.Pattern | None:
+    """Finds the strings of special tokens, the longest first."""
+    return regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+
+
 class Vocabulary:
     """Tokens and merges of a tokenizer file, with the tables of encoder and decoder."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        if spec["normalizer"] is not None or spec["pre_tokenizer"].get("add_prefix_space") or spec["model"]["type"] != "BPE":
-            raise ValueError(f"{path} is not a plain byte-level BPE")
+        check_plain(spec, path)
         byte_of = byte_alphabet()
         self.id_of = {bytes(byte_of[c] for c in token): k for token, k in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -66,7 +75,7 @@ class Vocabulary:
             self.born[k], self.halves[k] = rank, pair
         #: The longest token that is a proper prefix of a token, or -1.
         self.shorter = [next((self.id_of[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in self.id_of), -1) for b in self.bytes_of]
-        self.split_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.split_special = special_pattern(self.special)
         self.pretokens = regex.compile(PRETOKENS)
         self._automaton = None
         self._fits: dict[tuple[int, int], bool] = {}

@@ -7,6 +7,7 @@ the very last one is padded.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PRETOKENS, Encoder, Vocabulary
+from .bpe import PRETOKENS, Encoder, Vocabulary, byte_alphabet, check_plain, special_pattern
 from .common import NULL_ID, parallelism, slices, written
 
 END = 0
@@ -36,19 +37,26 @@ class FastEncoder:
     """The ids of :class:`~foliospark.llm.bpe.Encoder`, from compiled code where ids follow merge order."""
 
     def __init__(self, path: str):
-        words = Vocabulary(path)
-        made = [k for _, k in sorted(words.merges.values())]
-        self.special, self.split_special = words.special, words.split_special
-        self.dtype = np.dtype("<u2" if len(words.bytes_of) <= 1 << 16 else "<u4")
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        check_plain(spec, path)
+        vocab, byte_of = spec["model"]["vocab"], byte_alphabet()
+        merges = (m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"])
+        made = [vocab[m.replace(" ", "", 1)] for m in merges]
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.split_special = special_pattern(self.special)
+        size = 1 + max([*vocab.values(), *self.special.values()])
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         if made == sorted(made):
-            plain = tiktoken.Encoding("own", pat_str=PRETOKENS, mergeable_ranks=words.id_of, special_tokens={}).encode_ordinary
+            ranks = {bytes(byte_of[c] for c in token): k for token, k in vocab.items()}
+            plain = tiktoken.Encoding("own", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         else:
-            slow = Encoder(words)
+            slow = Encoder(Vocabulary(path))
             plain = lambda text: np.frombuffer(slow.plain(text), "<u4").tolist()
         self.plain = plain
         rng = np.random.default_rng(20)
         directions = rng.standard_normal((BUCKETS, DIMS))
-        bucket = (np.arange(len(words.bytes_of), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int64)
+        bucket = (np.arange(size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int64)
         self.projection = directions[bucket % BUCKETS].astype(np.float32)
 
     def ids(self, text: str) -> np.ndarray:
@@ -168,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, id_col: str = "doc
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place = None, 0
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, "ids", BATCH_BYTES)):
             out: list[tuple] = []
             for doc_id, p, n, packed in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "n", "ids"))):
                 if p != part:
