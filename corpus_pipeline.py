@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import table, written
 from foliospark.llm.exact_dedup import without_copies
+from foliospark.llm.near_copies import without_near_copies
 from foliospark.llm.packing import pack
 from foliospark.llm.quality import fit_quality, with_good_quality
 from foliospark.llm.queries import TOKENIZER
-from foliospark.llm.simhash import near_dedup
 from foliospark.llm.suffix_dedup import remove_repeats
 
 
@@ -31,8 +31,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
-    return near_dedup(docs)
+    """One document of each component of near copies: five words, similarity 0.8."""
+    return without_near_copies(docs)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  used as pa.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Stands for a null id where ids are ordered: nulls come last.
@@ -60,6 +60,19 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def row_key(doc: Column, text: Column) -> Column:
+    """128 bits that name a row by its id and its text, either of which may be null."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(doc.cast("string"), F.lit("=")), F.lit("-")), F.coalesce(F.concat(F.lit("="), text.cast("string")), F.lit("-"))).cast("binary")))
+
+
+def only_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` named in ``kept(key)``: one where rows agree in id and text."""
+    key, number = "_row_key_", "_row_number_"
+    named = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col)))
+    first = named.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(number) == 1)
+    return first.join(kept.select(F.col("key").alias(key)), key, "left_semi").select(*docs.columns)
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """``batch`` cut so that ``column`` holds about ``most_bytes`` a piece (one row at least)."""
     array = batch.column(column)

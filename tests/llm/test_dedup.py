@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from foliospark.llm import simhash, suffix_dedup
+from foliospark.llm import near_copies, simhash, suffix_dedup
 from foliospark.llm.components import connected_components
 from foliospark.llm.exact_dedup import exact_dedup, without_copies
 from foliospark.llm.simhash import near_dedup, near_links, simhash_components
@@ -144,6 +144,40 @@ def test_components_of_long_paths(spark):
     assert got == {k: 0 for k in range(101)} | {600: 600, 700: 600}
 
 
+def near_brute(docs):
+    sets = []
+    for _, text in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(words[k : k + 5]) for k in range(max(len(words) - 4, min(len(words), 1)))})
+    root = list(range(len(docs)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if root[i] != root[j] and 5 * len(a & b) >= 4 * len(a | b):
+                root = [root[j] if r == root[i] else r for r in root]
+    best = {}
+    for k, (doc, text) in enumerate(docs):
+        best[root[k]] = min(best.get(root[k], (1 << 63, "")), ((1 << 63) - 1 if doc is None else doc, text or ""))
+    return sorted(((None if d == (1 << 63) - 1 else d, t) for d, t in best.values()), key=repr)
+
+
+@pytest.mark.parametrize("crowd,least,rounds", [(64, 20, 5), (2, 3, 2), (2, 10**6, 0)])
+def test_near_copies_are_brute_force(spark, monkeypatch, crowd, least, rounds):
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
+    monkeypatch.setattr(near_copies, "PROBE_LEAST", least)
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    rng = random.Random(6)
+    docs = corpus(6, 50) + [(200, None), (201, ""), (202, "  "), (203, "ONE two"), (204, "one  two"), (205, "one two x")]
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    for k in range(60):  # copies on both sides of 0.8
+        words = list(base)
+        for _ in range(k % 6):
+            words[rng.randrange(150)] = f"new{rng.randrange(10**6)}"
+        docs.append((300 + k, " ".join(words)))
+    got = near_copies.without_near_copies(spark.createDataFrame(docs, DOC))
+    assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=repr) == near_brute(docs)
+    assert near_copies.without_near_copies(spark.createDataFrame([], DOC)).collect() == []
+
+
 # -- repeated strings ----------------------------------------------------------------------
 
 
