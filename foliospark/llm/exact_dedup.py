@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID
+from .common import NULL_ID, only_rows, row_key
 
 #: Deleted before texts are compared.
 WHITE_SPACE = r"[ \t\n\x0b\f\r]+"
@@ -58,9 +58,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept[id_col]), "left_semi")
+    """One row of each set of equal texts, with its columns: that which :func:`exact_dedup` keeps.
+
+    Rows are told apart by id and text, so null and repeated ids bring no copy back; of rows
+    that agree in both, one stays.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = row_key(F.col(id_col), F.col(text_col)).alias("key")
+    rows = docs.select(F.length(text).alias("points"), (-F.coalesce(F.col(id_col), F.lit(NULL_ID))).alias("neg_id"), key, normalised(F.col(text_col)).alias("norm"))
+    h128 = F.substring(F.unhex(F.sha2("norm", 256)), 1, 16).alias("h128")
+    best = rows.groupBy(h128, "norm").agg(F.max(F.struct("points", "neg_id", "key")).alias("best"))
+    return only_rows(docs, best.select(F.col("best.key").alias("key")), id_col, text_col)
 
 
 #: DuckDB SQL for the query over ``documents``.

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, arrow_map, durable
+from .common import NULL_ID, arrow_map, durable, only_rows, row_key
 from .components import connected_components
 
 SEED = 42
@@ -48,15 +48,16 @@ def fingerprint(text: str | None, ngram: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` with the fingerprint as a signed long; one row per row of ``docs``."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3, keyed: bool = False) -> DataFrame:
+    """``(doc_id, fp)`` with the fingerprint as a signed long, and ``key`` of the row if ``keyed``; one row per row of ``docs``."""
+    key = ["key"] if keyed else []
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.fromiter((fingerprint(x.as_py(), ngram) for x in batch.column("text")), np.uint64, batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), *(batch.column(k) for k in key)], ["doc_id", "fp", *key])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return arrow_map(rows, each, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(row_key(F.col(id_col), F.col(text_col)).alias(k) for k in key))
+    return arrow_map(rows, each, "doc_id long, fp long" + ", key binary" * keyed)
 
 
 def segment_counts(fp: Column) -> Column:
@@ -114,6 +115,16 @@ def near_links(nodes: DataFrame) -> DataFrame:
     return links.union(_ball_links(hot)) if crowded else links
 
 
+def _named(prints: DataFrame) -> DataFrame:
+    """Rows of ``prints`` (``doc_id, fp`` and others) with their ``component_id``."""
+    nodes = durable(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("least")))
+    parts = connected_components(near_links(nodes.select(F.col("fp").alias("node"), "fp")))
+    tagged = nodes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
+    names = tagged.groupBy("part").agg(F.min("least").alias("name"))
+    classes = tagged.join(names, "part").select("fp", "part", F.nullif("name", F.lit(NULL_ID)).alias("component_id"))
+    return prints.join(classes, "fp")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` per row of ``docs``.
 
@@ -126,16 +137,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows: each returns a row. Empty table: empty result. Other columns are ignored.
     """
     prints = durable(fingerprints(docs, id_col, text_col, ngram))
-    nodes = durable(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("least")))
-    parts = connected_components(near_links(nodes.select(F.col("fp").alias("node"), "fp")))
-    tagged = nodes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
-    names = tagged.groupBy("part").agg(F.min("least").alias("name"))
-    classes = tagged.join(names, "part").select("fp", F.nullif("name", F.lit(NULL_ID)).alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _named(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of each group."""
-    parts = simhash_components(docs, id_col, text_col, ngram)
-    kept = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept[id_col]), "left_semi")
+    """One row of each component of :func:`simhash_components`: that with the smallest id.
+
+    Rows are told apart by id and text, as null and repeated ids do not name one.
+    """
+    prints = durable(fingerprints(docs, id_col, text_col, ngram, keyed=True))
+    order = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("least"), "key")
+    kept = _named(prints).groupBy("part").agg(F.min(order).alias("first")).select(F.col("first.key").alias("key"))
+    return only_rows(docs, kept, id_col, text_col)

@@ -178,6 +178,19 @@ def test_near_copies_are_brute_force(spark, monkeypatch, crowd, least, rounds):
     assert near_copies.without_near_copies(spark.createDataFrame([], DOC)).collect() == []
 
 
+def test_null_and_repeated_ids_bring_no_copy_back(spark):
+    one, two, three = ("".join(f" {p}{k}" for k in range(12)) for p in "xyz")
+    docs = [(None, one), (3, one), (None, two), (None, two), (7, three), (7, one), (7, three), (8, "a b"), (8, "ab "), (None, None), (None, "")]
+    frame = spark.createDataFrame(docs, DOC)
+    want = sorted([(None, two), (3, one), (7, three)], key=repr)
+    for keep in (without_copies, near_dedup, near_copies.without_near_copies):
+        got = keep(frame)
+        assert got.columns == frame.columns
+        assert [r for r in rows(got) if len(r[1] or "") > 3] == want
+        assert [r[0] for r in rows(got) if not r[1]] == [None]
+    assert sum(r.doc_id == 8 for r in without_copies(frame).collect()) == 1
+
+
 # -- repeated strings ----------------------------------------------------------------------
 
 
