@@ -1,8 +1,11 @@
-"""Near deduplication on the Jaccard similarity of word shingles: every pair, not a sample of them.
-
-Candidates come from prefixes. Under one order of all shingles, two sets as similar as asked
-share a shingle among the first of each, and at the first one they share enough must be left
-in both. No similar pair is missed, so recall does not hang on a signature.
+"""Near deduplication by SimHash at a Jaccard similarity of word shingles, with no similar pair missed.
+
+Fingerprints within two bits are candidates by the segment grid of :mod:`.simhash`. At a
+similarity of 0.8 fingerprints of one pair differ in three to eleven bits, where a grid of
+64-bit fingerprints tells nothing apart, so two rules that hold for *every* similar pair find
+the rest: under one order of all shingles, two such sets share one among the first of each;
+and as with fingerprints, the Manhattan distance of the sets' segment counts is a lower bound
+of the number of shingles in which they differ. Whatever is left is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -19,20 +22,22 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, arrow_map, durable, only_rows, parallelism, row_key, written
 from .components import connected_components
+from .simhash import near_links, print_of
 
 SEED = 42
-#: Rows in which frequent shingles are looked for, and how many have to hold one. They come
-#: last in the order, which only saves candidates: any order gives the same pairs.
-PROBE_ROWS, PROBE_LEAST, MOST_FREQUENT = 4_000, 5, 100_000
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
+#: Rows in which frequent shingles are looked for: a share of all and at least so many. What
+#: as many of them hold comes last in the order. Any order gives the same pairs; this one saves
+#: candidates.
+PROBE_SHARE, PROBE_ROWS, PROBE_LEAST, MOST_FREQUENT = 1 / 64, 4_000, 5, 1 << 18
 #: Nodes that share a prefix shingle are paired up to this number; larger groups are first
 #: compared with one of them a round, and then where components still differ.
 CROWD = 256
 ROUNDS = 2
+#: Bounds the arrays of one step.
 PAIRS_A_BATCH = 1 << 16
-#: Up to as many nodes are sent to the sets instead of the sets to the nodes.
-SENT_NODES = 100_000
-#: Classes of a sketch, by the highest bits of the hashes.
-CLASS_BITS = 6
+#: Segments of the hash space whose shingles are counted.
+SEGMENT_BITS = 6
 _ROW = "token long, node long, size int, at int"
 
 
@@ -41,25 +46,22 @@ def shingle_set(text: str | None, ngram: int = 5) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(min(ngram, len(words))))))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+    size = min(ngram, len(words))
+    mixed = np.full(len(words) - size + 1, size, np.uint64)
+    for k in range(size):
+        mixed = mixed * _STEP + hashes[k : k + len(mixed)]
+    mixed = (mixed ^ (mixed >> np.uint64(33))) * _MIX
+    return np.unique(mixed ^ (mixed >> np.uint64(29)))
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """How many shingles each class has; empty if a number is too large for it.
+def segment_counts(shingles: np.ndarray) -> bytes:
+    """How many shingles each segment of the hash space has, at most 65,535.
 
-    Two sets share no more than the sum, over classes, of the lesser number.
+    Cutting numbers off only brings them closer, so the bound below stays one.
     """
-    counts = np.bincount((shingles >> np.uint64(64 - CLASS_BITS)).astype(np.int64), minlength=1 << CLASS_BITS)
-    return counts.astype(np.uint16).tobytes() if counts.max() < 1 << 16 else b""
-
-
-def _may_be_similar(x: bytes, y: bytes, similarity: float) -> bool:
-    if not x or not y:
-        return True
-    x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
-    shared, both = int(np.minimum(x, y).sum(dtype=np.int64)), int(x.sum(dtype=np.int64) + y.sum(dtype=np.int64))
-    return shared >= similarity * (both - shared) - 1e-9
+    counts = np.bincount((shingles >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64), minlength=1 << SEGMENT_BITS)
+    return np.minimum(counts, 65_535).astype(np.uint16).tobytes()
 
 
 def _least(share: float, n: np.ndarray | int) -> np.ndarray:
@@ -67,24 +69,43 @@ def _least(share: float, n: np.ndarray | int) -> np.ndarray:
     return np.ceil(share * np.asarray(n) - 1e-9).astype(np.int64)
 
 
-def _prefixes(sets: DataFrame, frequent: np.ndarray, similarity: float) -> DataFrame:
+def _most_apart(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """In how many shingles two similar sets with these sizes in all can differ."""
+    return sizes - 2 * _least(similarity / (1 + similarity), sizes)
+
+
+def _late(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    if not len(frequent):
+        return np.zeros(len(shingles), bool)
+    at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+    return frequent[at] == shingles
+
+
+def _frequent(docs: DataFrame, n: int, ngram: int) -> np.ndarray:
+    """The most frequent shingles of the probed rows, sorted."""
+
+    def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_set(x.as_py(), ngram) for x in batch.column("text")]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
+
+    share = ceil(max(PROBE_SHARE, min(1.0, PROBE_ROWS / max(n, 1))) * (1 << 20))
+    probe = docs.select(F.col("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share).distinct()
+    counts = arrow_map(probe, explode, "token long").groupBy("token").count().where(F.col("count") >= PROBE_LEAST)
+    top = counts.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).select("token").toArrow()
+    return np.sort(top.column("token").to_numpy().view(np.uint64))
+
+
+def _prefixes(nodes: DataFrame) -> DataFrame:
     """``(token, node, size, at)``: the first shingles of each set, with their places."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokens, counts, sizes = [], [], []
-        for x in batch.column("shingles"):
-            s = np.frombuffer(x.as_buffer(), np.uint64)
-            late = np.isin(s, frequent, assume_unique=True)
-            n = len(s) - int(_least(similarity, len(s))) + 1 if len(s) else 0
-            tokens.append(np.concatenate((s[~late], s[late]))[:n])
-            counts.append(n)
-            sizes.append(len(s))
-        at = np.concatenate([np.arange(n) for n in counts])
-        node = np.repeat(batch.column("node").to_numpy(), counts)
-        arrays = [np.concatenate(tokens).view(np.int64), node, np.repeat(sizes, counts).astype(np.int32), at.astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["token", "node", "size", "at"])
+        tokens = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("first")]
+        counts = [len(x) for x in tokens]
+        at = np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
+        node, size = (np.repeat(batch.column(c).to_numpy(), counts) for c in ("node", "size"))
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in (np.concatenate(tokens), node, size, at)], ["token", "node", "size", "at"])
 
-    return arrow_map(sets.select("node", "shingles"), each, _ROW)
+    return arrow_map(nodes.select("node", "size", "first"), each, _ROW)
 
 
 def _able(size_a, at_a, size_b, at_b, similarity: float) -> np.ndarray:
@@ -93,19 +114,21 @@ def _able(size_a, at_a, size_b, at_b, similarity: float) -> np.ndarray:
     return np.minimum(size_a - at_a, size_b - at_b) >= enough
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """The columns of each group of two nodes or more with one token; input is sorted by token and node."""
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Columns with the starts and sizes of the groups of two nodes or more with one token.
+
+    Input is sorted by token and node; a group is never cut.
+    """
     held: list[np.ndarray] | None = None
 
-    def cut(columns: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    def cut(columns: list[np.ndarray]):
         token, node = columns[0], columns[1]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
         columns = [c[new] for c in columns]
         starts = np.flatnonzero(np.concatenate(([True], columns[0][1:] != columns[0][:-1])))
-        ends = np.append(starts[1:], len(columns[0]))
-        for k in np.flatnonzero(ends - starts > 1):
-            yield [c[starts[k] : ends[k]] for c in columns]
+        sizes = np.diff(np.append(starts, len(columns[0])))
+        return columns, starts[sizes > 1], sizes[sizes > 1]
 
     for batch in batches:
         if not batch.num_rows:
@@ -115,10 +138,10 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[lis
             columns = [np.concatenate(x) for x in zip(held, columns)]
         last = int(np.searchsorted(columns[0], columns[0][-1]))
         if last:
-            yield from cut([c[:last] for c in columns])
+            yield cut([c[:last] for c in columns])
         held = [c[last:] for c in columns]
     if held is not None and len(held[0]):
-        yield from cut(held)
+        yield cut(held)
 
 
 def _batches(rows: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -148,20 +171,26 @@ def _candidates(prefixes: DataFrame, similarity: float) -> tuple[DataFrame, Data
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[list[np.ndarray]]:
-            for token, node, size, at in _groups(batches, ["token", "node", "size", "at"]):
-                if len(node) > CROWD:
-                    yield [np.ones(len(node), np.int32), token, node, size, at]
-                    continue
-                i, j = np.triu_indices(len(node), 1)
-                able = _able(size[i], at[i], size[j], at[j], similarity)
-                i, j = i[able], j[able]
-                zero = np.zeros(len(i), np.int32)
-                yield [zero, node[i], node[j], zero, zero]
+            for (token, node, size, at), starts, sizes in _runs(batches, ["token", "node", "size", "at"]):
+                for k in np.flatnonzero(sizes > CROWD):
+                    own = slice(starts[k], starts[k] + sizes[k])
+                    yield [np.ones(sizes[k], np.int32), token[own], node[own], size[own], at[own]]
+                # Groups of one size are paired together.
+                for n in np.unique(sizes[sizes <= CROWD]):
+                    first, second = np.triu_indices(n, 1)
+                    alike = starts[sizes == n]
+                    step = max(1, PAIRS_A_BATCH // len(first))
+                    for s in range(0, len(alike), step):
+                        i, j = ((alike[s : s + step, None] + x).ravel() for x in (first, second))
+                        able = _able(size[i], at[i], size[j], at[j], similarity)
+                        a, b = node[i[able]], node[j[able]]
+                        zero = np.zeros(len(a), np.int32)
+                        yield [zero, a, b, zero, zero]
 
         yield from _batches(rows(), ["crowd", "token", "node", "size", "at"])
 
     found = written(_by_token(prefixes).mapInArrow(pair, "crowd int, " + _ROW), "near-candidates")
-    return found.where("crowd = 0").select(F.col("token").alias("a"), F.col("node").alias("b")).distinct(), found.where("crowd = 1").drop("crowd")
+    return found.where("crowd = 0").select(F.col("token").alias("a"), F.col("node").alias("b")), found.where("crowd = 1").drop("crowd")
 
 
 def _crowd_pairs(crowd: DataFrame, parts: DataFrame, similarity: float, turn: int | None) -> DataFrame:
@@ -169,25 +198,27 @@ def _crowd_pairs(crowd: DataFrame, parts: DataFrame, similarity: float, turn: in
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[list[np.ndarray]]:
-            for _, node, size, at, part in _groups(batches, ["token", "node", "size", "at", "part"]):
-                if (part == part[0]).all():
-                    continue
-                # The same nodes lead in the other groups of their copies, so pairs coincide.
-                ranks = [xxhash.xxh64_intdigest(int(x).to_bytes(8, "little", signed=True), turn or 0) for x in node] if turn is not None else None
-                for k in range(len(node)) if ranks is None else [int(np.argmin(np.array(ranks, np.uint64)))]:
-                    others = np.arange(k + 1, len(node)) if ranks is None else np.arange(len(node))
-                    able = (part[others] != part[k]) & _able(size[k], at[k], size[others], at[others], similarity)
-                    b = node[others[able]]
-                    yield [np.minimum(node[k], b), np.maximum(node[k], b)]
+            for columns, starts, sizes in _runs(batches, ["token", "node", "size", "at", "part"]):
+                for begin, n in zip(starts, sizes):
+                    node, size, at, part = (c[begin : begin + n] for c in columns[1:])
+                    if (part == part[0]).all():
+                        continue
+                    # The same nodes lead in the other groups of their copies, so pairs coincide.
+                    ranks = [xxhash.xxh64_intdigest(int(x).to_bytes(8, "little", signed=True), turn or 0) for x in node] if turn is not None else None
+                    for k in range(n) if ranks is None else [int(np.argmin(np.array(ranks, np.uint64)))]:
+                        others = np.arange(k + 1, n) if ranks is None else np.arange(n)
+                        able = (part[others] != part[k]) & _able(size[k], at[k], size[others], at[others], similarity)
+                        b = node[others[able]]
+                        yield [np.minimum(node[k], b), np.maximum(node[k], b)]
 
         yield from _batches(rows(), ["a", "b"])
 
     tagged = crowd.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    return _by_token(tagged.select("token", "node", "size", "at", "part")).mapInArrow(pair, "a long, b long").distinct()
+    return _by_token(tagged.select("token", "node", "size", "at", "part")).mapInArrow(pair, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs that are as similar as asked, decided on the whole sets."""
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, ngram: int, similarity: float) -> DataFrame:
+    """The pairs that are as similar as asked: by the lower bound first, then on the whole sets."""
 
     def with_column(pairs: DataFrame, known: DataFrame, name: str) -> DataFrame:
         for end, at in (("a", "x"), ("b", "y")):
@@ -195,14 +226,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
         return pairs.select("a", "b", "x", "y")
 
     def able(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = [_may_be_similar(x.as_py(), y.as_py(), similarity) for x, y in zip(batch.column("x"), batch.column("y"))]
-        return batch.select(["a", "b"]).filter(pa.array(keep))
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1).astype(np.int64) for c in ("x", "y"))
+        apart, sizes = np.abs(x - y).sum(axis=1), (x + y).sum(axis=1)
+        whole = (x.max(axis=1) < 65_535) & (y.max(axis=1) < 65_535)
+        return batch.select(["a", "b"]).filter(pa.array(~whole | (apart <= _most_apart(sizes, similarity))))
+
+    pairs = written(arrow_map(with_column(pairs.distinct(), nodes, "segments"), able, "a long, b long"), "near-pairs")
+    if pairs.isEmpty():
+        return pairs
+    # Only texts with a candidate left are shingled again.
+    asked = nodes.select("node", "key").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    asked = written(asked.select("key"), "near-asked")
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_set(x.as_py(), ngram).tobytes() for x in batch.column("text")]
+        return pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(_name, found), np.int64, len(found))), pa.array(found, pa.binary())], ["node", "shingles"])
 
-    sketches = sets.select("node", "sketch").dropDuplicates(["node"])
-    pairs = durable(arrow_map(with_column(pairs, sketches, "sketch"), able, "a long, b long"))
-    nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    few = nodes.count() <= SENT_NODES
-    known = written(sets.select("node", "shingles").join(F.broadcast(nodes) if few else nodes, "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+    known = written(arrow_map(rows.join(asked, "key", "left_semi").select("text"), sets, "node long, shingles binary").dropDuplicates(["node"]), "near-sets")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -215,48 +255,65 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return durable(arrow_map(with_column(pairs, known, "shingles"), each, "a long, b long"))
 
 
-def near_copy_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """Links between nodes whose closure is that of all pairs with this similarity."""
-    spark = sets.sparkSession
+def _name(shingles: bytes) -> int:
+    """The node of a set: a hash of all of it, as a signed long."""
+    found = xxhash.xxh64_intdigest(shingles)
+    return found - (1 << 64) if found >> 63 else found
 
-    def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts))], ["token"])
 
-    share = min(1.0, PROBE_ROWS / max(sets.count(), 1))
-    probe = sets.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < ceil(share * (1 << 20)))
-    counts = arrow_map(probe.select("shingles"), explode, "token long").groupBy("token").count().where(F.col("count") >= PROBE_LEAST)
-    frequent = np.array([r.token for r in counts.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).collect()], np.int64).view(np.uint64)
+def _print_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs whose fingerprints are within two bits: of one fingerprint with its first node, of others between first nodes."""
+    nodes = nodes.select("node", "fp")
+    first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    same = nodes.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    links = near_links(first.select(F.col("first").alias("node"), "fp"))
+    return same.union(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b"))
+
 
-    pairs, crowd = _candidates(_prefixes(sets, np.sort(frequent), similarity), similarity)
-    links = _verified(pairs, sets, similarity)
+def near_copy_components(nodes: DataFrame, rows: DataFrame, ngram: int, similarity: float) -> DataFrame:
+    """``(node, component)`` for the nodes with links: the closure of all pairs with this similarity."""
+    pairs, crowd = _candidates(_prefixes(nodes), similarity)
+    links = _verified(pairs.union(_print_pairs(nodes)), nodes, rows, ngram, similarity)
+    parts = connected_components(links)
     if crowd.isEmpty():
-        return links
+        return parts
     for turn in [*range(ROUNDS), None]:
-        more = durable(_crowd_pairs(crowd, connected_components(links), similarity, turn))
-        if turn is None or not more.isEmpty():
-            links = links.union(_verified(more, sets, similarity))
-    return links
+        more = written(_crowd_pairs(crowd, parts, similarity, turn), "near-crowd")
+        if not more.isEmpty():
+            links = links.union(_verified(more, nodes, rows, ngram, similarity))
+            parts = connected_components(links)
+    return parts
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each component of near copies: that with the smallest id.
 
     Two texts are linked when the sets of their word shingles (``ngram`` words, ASCII letters
     without case) have a Jaccard similarity of ``similarity`` or more. Texts of fewer words
     are one shingle; null, empty and blank texts equal each other. Null ids come after all
-    ids; of rows with one id that stays, one stays. Empty table: empty result.
+    ids; rows are told apart by id and text, and of rows equal in both one stays. Empty table:
+    empty result. All columns are kept, whatever their names.
     """
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("least"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    frequent = _frequent(rows, docs.count(), ngram)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(x.as_py(), ngram) for x in batch.column("text")]
-        found = [s.tobytes() for s in sets]
-        node = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("least"), batch.column("key"), pa.array(node), pa.array(found, pa.binary()), pa.array(map(sketch, sets), pa.binary())], ["least", "key", "node", "shingles", "sketch"])
-
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("least"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    sets = written(arrow_map(rows, each, "least long, key binary, node long, shingles binary, sketch binary"), "near-shingles")
-    parts = connected_components(near_copy_links(sets, similarity))
-    tagged = sets.select("least", "key", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+        node = pa.array(np.fromiter((_name(s.tobytes()) for s in sets), np.int64, len(sets)))
+        fp = pa.array(np.fromiter(map(print_of, sets), np.uint64, len(sets)).view(np.int64))
+        first = []
+        for s in sets:
+            late = _late(s, frequent)
+            n = len(s) - int(_least(similarity, len(s))) + 1 if len(s) else 0
+            first.append(np.concatenate((s[~late], s[late]))[:n].tobytes())
+        columns = [batch.column("least"), batch.column("key"), node, fp, pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.binary()), pa.array(map(segment_counts, sets), pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["least", "key", "node", "fp", "size", "first", "segments"])
+
+    seen = written(arrow_map(rows, each, "least long, key binary, node long, fp long, size int, first binary, segments binary"), "near-rows")
+    # Rows of one node agree in all of these.
+    held = ("fp", "size", "first", "segments")
+    nodes = written(seen.groupBy("node").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in held)), "near-nodes")
+    parts = near_copy_components(nodes, rows.select("key", "text"), ngram, similarity)
+    tagged = seen.select("least", "key", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     kept = tagged.groupBy("part").agg(F.min(F.struct("least", "key")).alias("first")).select(F.col("first.key").alias("key"))
     return only_rows(docs, kept, id_col, text_col)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, arrow_map, durable, only_rows, row_key
+from .common import NULL_ID, arrow_map, durable
 from .components import connected_components
 
 SEED = 42
@@ -43,21 +43,35 @@ def fingerprint(text: str | None, ngram: int = 3) -> int:
     ones = np.zeros(64, np.int64)
     for start in range(0, n, CHUNK):
         size = min(CHUNK, n - start)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, islice(shingles, size), repeat(SEED)), np.uint64, size)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _bits_set(np.fromiter(map(xxhash.xxh64_intdigest, islice(shingles, size), repeat(SEED)), np.uint64, size))
+    return _majority(ones, n)
+
+
+def _bits_set(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3, keyed: bool = False) -> DataFrame:
-    """``(doc_id, fp)`` with the fingerprint as a signed long, and ``key`` of the row if ``keyed``; one row per row of ``docs``."""
-    key = ["key"] if keyed else []
+def print_of(hashes: np.ndarray) -> int:
+    """SimHash of shingles that are hashed already; none: zero."""
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), CHUNK):
+        ones += _bits_set(hashes[start : start + CHUNK])
+    return _majority(ones, len(hashes))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3) -> DataFrame:
+    """``(doc_id, fp)`` with the fingerprint as a signed long; one row per row of ``docs``."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.fromiter((fingerprint(x.as_py(), ngram) for x in batch.column("text")), np.uint64, batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), *(batch.column(k) for k in key)], ["doc_id", "fp", *key])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(row_key(F.col(id_col), F.col(text_col)).alias(k) for k in key))
-    return arrow_map(rows, each, "doc_id long, fp long" + ", key binary" * keyed)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return arrow_map(rows, each, "doc_id long, fp long")
 
 
 def segment_counts(fp: Column) -> Column:
@@ -138,14 +152,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     prints = durable(fingerprints(docs, id_col, text_col, ngram))
     return _named(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3) -> DataFrame:
-    """One row of each component of :func:`simhash_components`: that with the smallest id.
-
-    Rows are told apart by id and text, as null and repeated ids do not name one.
-    """
-    prints = durable(fingerprints(docs, id_col, text_col, ngram, keyed=True))
-    order = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("least"), "key")
-    kept = _named(prints).groupBy("part").agg(F.min(order).alias("first")).select(F.col("first.key").alias("key"))
-    return only_rows(docs, kept, id_col, text_col)

@@ -12,7 +12,8 @@ import xxhash
 from foliospark.llm import near_copies, simhash, suffix_dedup
 from foliospark.llm.components import connected_components
 from foliospark.llm.exact_dedup import exact_dedup, without_copies
-from foliospark.llm.simhash import near_dedup, near_links, simhash_components
+from foliospark.llm.near_copies import near_dedup
+from foliospark.llm.simhash import near_links, simhash_components
 from foliospark.llm.suffix_arrays import common_prefixes, suffix_array
 from foliospark.llm.suffix_dedup import remove_repeats, repeat_digests
 
@@ -127,8 +128,6 @@ def test_simhash_components_are_brute_force(spark):
     want = closure(list(prints), list(prints.values()))
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash_components(spark.createDataFrame(docs, DOC)).collect()}
     assert got == {d: (f"{prints[d]:016x}", want[d]) for d in prints}
-    kept = {r.doc_id for r in near_dedup(spark.createDataFrame(docs, DOC)).collect()}
-    assert kept == set(want.values())
 
 
 def test_simhash_odd_tables(spark):
@@ -173,9 +172,9 @@ def test_near_copies_are_brute_force(spark, monkeypatch, crowd, least, rounds):
         for _ in range(k % 6):
             words[rng.randrange(150)] = f"new{rng.randrange(10**6)}"
         docs.append((300 + k, " ".join(words)))
-    got = near_copies.without_near_copies(spark.createDataFrame(docs, DOC))
+    got = near_dedup(spark.createDataFrame(docs, DOC))
     assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=repr) == near_brute(docs)
-    assert near_copies.without_near_copies(spark.createDataFrame([], DOC)).collect() == []
+    assert near_dedup(spark.createDataFrame([], DOC)).collect() == []
 
 
 def test_null_and_repeated_ids_bring_no_copy_back(spark):
@@ -183,7 +182,7 @@ def test_null_and_repeated_ids_bring_no_copy_back(spark):
     docs = [(None, one), (3, one), (None, two), (None, two), (7, three), (7, one), (7, three), (8, "a b"), (8, "ab "), (None, None), (None, "")]
     frame = spark.createDataFrame(docs, DOC)
     want = sorted([(None, two), (3, one), (7, three)], key=repr)
-    for keep in (without_copies, near_dedup, near_copies.without_near_copies):
+    for keep in (without_copies, near_dedup):
         got = keep(frame)
         assert got.columns == frame.columns
         assert [r for r in rows(got) if len(r[1] or "") > 3] == want
