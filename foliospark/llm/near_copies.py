@@ -30,10 +30,9 @@ _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 #: as many of them hold comes last in the order. Any order gives the same pairs; this one saves
 #: candidates.
 PROBE_SHARE, PROBE_ROWS, PROBE_LEAST, MOST_FREQUENT = 1 / 64, 4_000, 5, 1 << 18
-#: Nodes that share a prefix shingle are paired up to this number; larger groups are first
-#: compared with one of them a round, and then where components still differ.
-CROWD = 256
-ROUNDS = 2
+#: Nodes that share a prefix shingle are paired up to this number; a larger group is compared
+#: with one of its nodes first, and after that only where components still differ.
+CROWD = 8
 #: Bounds the arrays of one step.
 PAIRS_A_BATCH = 1 << 16
 #: Segments of the hash space whose shingles are counted.
@@ -193,23 +192,39 @@ def _candidates(prefixes: DataFrame, similarity: float) -> tuple[DataFrame, Data
     return found.where("crowd = 0").select(F.col("token").alias("a"), F.col("node").alias("b")), found.where("crowd = 1").drop("crowd")
 
 
-def _crowd_pairs(crowd: DataFrame, parts: DataFrame, similarity: float, turn: int | None) -> DataFrame:
-    """Pairs of different components within crowds: with one member a crowd, or (``turn`` None) all."""
+def _with_hubs(crowd: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of each member of a crowd with its hub: the node most of whose prefix lies in crowds.
+
+    What was changed least shares most with its copies, so hubs tie almost all of a group.
+    """
+    prefix = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1
+    shares = crowd.groupBy("node").agg((F.count(F.lit(1)) / F.first(prefix)).alias("share"))
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[list[np.ndarray]]:
+            for (_, node, size, at, share), starts, sizes in _runs(batches, ["token", "node", "size", "at", "share"]):
+                for begin, n in zip(starts, sizes):
+                    others = np.arange(begin, begin + n)
+                    hub = begin + int(np.argmax(share[begin : begin + n]))
+                    others = others[(others != hub) & _able(size[hub], at[hub], size[others], at[others], similarity)]
+                    yield [np.minimum(node[hub], node[others]), np.maximum(node[hub], node[others])]
+
+        yield from _batches(rows(), ["a", "b"])
+
+    return _by_token(crowd.join(shares, "node")).mapInArrow(pair, "a long, b long")
+
+
+def _still_apart(crowd: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs within crowds whose components differ."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[list[np.ndarray]]:
-            for columns, starts, sizes in _runs(batches, ["token", "node", "size", "at", "part"]):
+            for (_, node, size, at, part), starts, sizes in _runs(batches, ["token", "node", "size", "at", "part"]):
                 for begin, n in zip(starts, sizes):
-                    node, size, at, part = (c[begin : begin + n] for c in columns[1:])
-                    if (part == part[0]).all():
-                        continue
-                    # The same nodes lead in the other groups of their copies, so pairs coincide.
-                    ranks = [xxhash.xxh64_intdigest(int(x).to_bytes(8, "little", signed=True), turn or 0) for x in node] if turn is not None else None
-                    for k in range(n) if ranks is None else [int(np.argmin(np.array(ranks, np.uint64)))]:
-                        others = np.arange(k + 1, n) if ranks is None else np.arange(n)
-                        able = (part[others] != part[k]) & _able(size[k], at[k], size[others], at[others], similarity)
-                        b = node[others[able]]
-                        yield [np.minimum(node[k], b), np.maximum(node[k], b)]
+                    for k in range(begin, begin + n - 1):
+                        others = np.arange(k + 1, begin + n)
+                        others = others[(part[others] != part[k]) & _able(size[k], at[k], size[others], at[others], similarity)]
+                        yield [np.minimum(node[k], node[others]), np.maximum(node[k], node[others])]
 
         yield from _batches(rows(), ["a", "b"])
 
@@ -273,16 +288,11 @@ def _print_pairs(nodes: DataFrame) -> DataFrame:
 def near_copy_components(nodes: DataFrame, rows: DataFrame, ngram: int, similarity: float) -> DataFrame:
     """``(node, component)`` for the nodes with links: the closure of all pairs with this similarity."""
     pairs, crowd = _candidates(_prefixes(nodes), similarity)
-    links = _verified(pairs.union(_print_pairs(nodes)), nodes, rows, ngram, similarity)
+    pairs = pairs.union(_with_hubs(crowd, similarity)).union(_print_pairs(nodes))
+    links = _verified(pairs, nodes, rows, ngram, similarity)
     parts = connected_components(links)
-    if crowd.isEmpty():
-        return parts
-    for turn in [*range(ROUNDS), None]:
-        more = written(_crowd_pairs(crowd, parts, similarity, turn), "near-crowd")
-        if not more.isEmpty():
-            links = links.union(_verified(more, nodes, rows, ngram, similarity))
-            parts = connected_components(links)
-    return parts
+    more = _verified(_still_apart(crowd, parts, similarity), nodes, rows, ngram, similarity)
+    return parts if more.isEmpty() else connected_components(links.union(more))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8) -> DataFrame:
