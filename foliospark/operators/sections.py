@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import patterns as P
 from ..functions import text as X
+from ..storage import durable
 from . import masking, rules, survey
 from . import titles as T
 from .lines import document_lines
@@ -209,10 +210,12 @@ def sectionise(docs: DataFrame, text_col: str = "raw") -> DataFrame:
     Columns: ``doc_key, order, id, title, number, parent, rule, words, container_only, text,
     full, tables, figures``. Null text is empty: one section. ``doc_key`` must be unique.
     """
-    ready = prepared(docs, text_col)
-    found = assemble(rules.mark_lines(document_lines(ready)))
+    # Written at three places: a plan of all windows takes longer to analyse than to run, and a
+    # lost executor repeats one part of the way only.
+    lines = durable(document_lines(durable(prepared(docs, text_col))))
+    found = durable(assemble(rules.mark_lines(lines)))
     found = nest_under_attachments(name_long_untitled(collapse_label_runs(nest_lettered(nest_numbers(found)))))
-    found = container_only(found)
+    found = durable(container_only(found))
     full = masking.restored(F.regexp_replace("text", r"(?m)^\x00BLK\x00$\n?", ""), F.col("blocks"))
     out = found.withColumn("title", X.strip(F.replace("title", F.lit(P.BLOCK), F.lit("")))).withColumn("full", full)
     out = out.withColumns({"tables": masking.section_tables(F.col("full")), "figures": masking.section_figures(F.col("full"))})

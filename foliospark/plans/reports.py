@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as X
 from ..operators import verify
+from ..storage import durable
 
 #: Thresholds, in words, that a sweep tries.
 THRESHOLDS = (0, 10, 15, 20, 25, 30, 40, 50, 60)
@@ -15,19 +16,25 @@ FALLBACKS = ("faithful", "faithful-depolarised", "verbatim")
 
 
 def doc_meta(index: DataFrame, docs: DataFrame) -> DataFrame:
-    """Counts and routes of each document of ``index``; ``docs`` has the sources."""
+    """Counts and routes of each document of ``index``; ``docs`` has the sources.
+
+    The index is written once; what is counted and what is audited read it back.
+    """
+    index, docs = durable(index), durable(docs)
     n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int"))
     total = lambda c: F.sum(F.coalesce(F.size(c), F.lit(0)))
-    routes = index.groupBy("doc_key", F.coalesce("chosen", F.lit("none")).alias("chosen")).agg(F.count(F.lit(1)).alias("n"))
-    routes = routes.groupBy("doc_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("chosen", "n")))).alias("summary_choice"))
-    facts = index.groupBy("doc_key").agg(
-        F.count(F.lit(1)).alias("sections"), n(F.col("summary").isNotNull()).alias("prose"), total(F.col("table_summaries")).alias("tables"), total(F.col("figure_summaries")).alias("pictures"),
-        n(F.size("findings") > 0).alias("bad_token_sections"), total(F.col("polarity_dropped")).alias("polarity_dropped"),
-    )
-    texts = index.select("doc_key", F.explode(F.array_compact(F.concat(F.array("summary"), F.coalesce("table_summaries", F.expr("CAST(array() AS array<string>)")), F.coalesce(F.transform("parts", lambda p: p["summary"]), F.expr("CAST(array() AS array<string>)"))))).alias("text"))
+    facts = {
+        "sections": F.count(F.lit(1)), "prose": n(F.col("summary").isNotNull()), "tables": total(F.col("table_summaries")), "pictures": total(F.col("figure_summaries")),
+        "bad_token_sections": n(F.size("findings") > 0), "polarity_dropped": total(F.col("polarity_dropped")),
+    }
+    routes = index.groupBy("doc_key", F.coalesce("chosen", F.lit("none")).alias("chosen")).agg(*(c.alias(k) for k, c in facts.items()))
+    choice = F.map_from_entries(F.array_sort(F.collect_list(F.struct("chosen", "sections")))).alias("summary_choice")
+    counts = routes.groupBy("doc_key").agg(*(F.sum(k).alias(k) for k in facts), choice)
+    none = F.expr("CAST(array() AS array<string>)")
+    texts = index.select("doc_key", F.explode(F.array_compact(F.concat(F.array("summary"), F.coalesce("table_summaries", none), F.coalesce(F.transform("parts", lambda p: p["summary"]), none)))).alias("text"))
     money = verify.money_audit(texts, docs)
     sources = docs.select("doc_key", "doc_type", F.length("raw").alias("chars"), F.regexp_count("raw", F.lit("<table")).alias("source_tables"), F.regexp_count("raw", F.lit("<::")).alias("source_pictures"))
-    out = sources.join(facts, "doc_key").join(routes, "doc_key").join(money, "doc_key", "left")
+    out = sources.join(counts, "doc_key").join(money, "doc_key", "left")
     return out.withColumns({"money_real": F.coalesce(F.col("checked") - F.col("invented"), F.lit(0)), "money_invented": F.coalesce("invented", F.lit(0))}).drop("checked", "invented")
 
 
