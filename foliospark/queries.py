@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cases
 from .functions import patterns as P
 from .functions import text as X
 from .operators import chunking, figures, masking, outline, polarity, safety, sections, survey, tables, titles, topics, verify
@@ -72,11 +73,6 @@ def regime(spark, sf):
     return survey.signals(D.clause_md(spark, sf)).groupBy("regime").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@query("SELECT 'clause__' || o_custkey AS doc_key, 1.0::DOUBLE AS clause_cover FROM orders GROUP BY o_custkey")
-def clause_cover(spark, sf):
-    return survey.signals(D.clause_md(spark, sf)).select("doc_key", "clause_cover")
-
-
 _CLAUSES = """
 WITH n AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
 s AS (
@@ -199,57 +195,24 @@ def figure_diagram(spark, sf):
 # -- titles ----------------------------------------------------------------------------------
 
 _NAME, _UP = (lambda: F.col("p_name")), (lambda: F.upper("p_name"))
-scalar("caps_title", "part", "p_partkey", lambda: titles.caps_title(built("**", _UP(), ":**")), "upper(p_name)")
-scalar("fold", "part", "p_partkey", lambda: titles.fold(built("  ", _UP(), " (Continued)")), "p_name")
-scalar("clean_title", "part", "p_partkey", lambda: titles.clean_title(built("**<b>", _NAME(), "</b>**²")), "p_name")
-scalar("strip_emphasis", "part", "p_partkey", lambda: titles.strip_emphasis(built("__<u>", _NAME(), "</u> :__")), "p_name")
-scalar("bold_lead", "part", "p_partkey", lambda: titles.same_marks(F.regexp_extract(built("**", _NAME(), "** rest"), P.BOLD_LEAD, 1), F.regexp_extract(built("**", _NAME(), "** rest"), P.BOLD_LEAD, 3)), "true")
-scalar("looks_like_content", "part", "p_partkey", lambda: titles.looks_like_content(F.when(F.col("p_size") > 25, built("Name: ", _NAME())).otherwise(_NAME())), "p_size > 25")
-scalar("lettered_title", "part", "p_partkey", lambda: titles.lettered_title(built("(a) **", F.initcap("p_name"), ".** body")), "'(a) ' || upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:]")
-scalar("clause_inline_title", "part", "p_partkey", lambda: titles.inline_title(built(F.col("p_size").cast("string"), ". Scope Of Work: the ", _NAME())), "p_size || '. Scope Of Work'")
-scalar("numbered_prose", "part", "p_partkey", lambda: titles.numbered_prose(built("1. The ", _NAME(), F.when(F.col("p_size") > 25, ".").otherwise(""))), "p_size > 25")
-scalar("looks_titled", "part", "p_partkey", lambda: titles.looks_titled(F.initcap("p_name")), "true")
-scalar("is_clause_heading", "part", "p_partkey", lambda: titles.clause_heading(built(F.initcap("p_name"), F.when(F.col("p_size") > 25, ".").otherwise(" x"))).isNotNull(), "true")
-scalar("toc_class", "part", "p_partkey", lambda: titles.toc_class(built(_NAME(), F.when(F.col("p_size") > 25, " .... 12").otherwise(""))), "CASE WHEN p_size > 25 THEN 'paged' ELSE 'plain' END")
-scalar("canon_number", "part", "p_partkey", lambda: titles.canonical_number(built(F.col("p_size").cast("string"), ".0.0")), "p_size || ''")
-scalar("name_from_bold", "part", "p_partkey", lambda: titles.name_from_bold(built("the **", _NAME(), "**, and")), "p_name")
-scalar("name_from_caps", "part", "p_partkey", lambda: titles.name_from_caps(built(_UP(), ", the seller")), "upper(p_name)")
-scalar("is_attachment", "part", "p_partkey", lambda: titles.is_attachment(F.when(F.col("p_size") > 25, built("Exhibit ", F.col("p_size").cast("string"))).otherwise(_NAME())), "p_size > 25")
-scalar("eff_body", "part", "p_partkey", lambda: titles.effective_body(built(_NAME(), "MASK00000")).cast("long"), "length(p_name) + 309")
 scalar("make_section", "part", "p_partkey", lambda: titles.section_id(_NAME()), "substr(sha1(p_name), 1, 8)")
-scalar("decimal_title", "part", "p_partkey", lambda: titles.decimal_title(built("2.", F.col("p_size").cast("string"), " Delivery Terms. The rest.")), "'2.' || p_size || ' Delivery Terms'")
-scalar("anchor_to_block", "part", "p_partkey", lambda: masking.anchors_to_blocks(built("<a id='x'></a>\n", _NAME())) == built("\n", P.BLOCK, "\n", _NAME()), "true")
-scalar("strip_furniture", "part", "p_partkey", lambda: masking.without_furniture(built(_NAME(), "\nPage 3 of 9\nend<::>")), "p_name || chr(10) || chr(10) || 'end'")
-scalar("section_prose", "part", "p_partkey", lambda: masking.section_prose(built("a <table><tr><td>x</td></tr></table> <::pic::> ", _NAME(), " <b>b</b> MASK00001")), "'a ' || p_name || ' b'")
-scalar("strip_bare_number", "part", "p_partkey", lambda: masking.without_bare_number(built(F.col("p_size").cast("string"), "."), built(F.col("p_size").cast("string"), ". ", _NAME())), "p_name")
+
+for _name, (_of, _cases) in cases.SCALARS.items():
+    query(cases.case_sql([want for _, want in _cases]), _name)(
+        lambda spark, sf, of=_of, found=_cases: cases.case_rows(spark, sf, [text for text, _ in found]).select("p_partkey", "n", of(F.col("text")).cast("string").alias("value"))
+    )
+
+for _name, (_use, _cases) in cases.FRAMES.items():
+    query(cases.case_sql([want for _, want in _cases]), _name)(
+        lambda spark, sf, use=_use, found=_cases: use(cases.case_rows(spark, sf, [text for text, _ in found])).select("p_partkey", "n", "value")
+    )
 
 # -- text ------------------------------------------------------------------------------------
 
 scalar("word_count", "documents", "doc_id", lambda: F.size(F.filter(F.split("text", r"[ \t\n\x0b\f\r]+"), lambda w: w != "")).cast("long"), r"len(list_filter(string_split_regex(text, '[ \t\n\x0b\f\r]+'), lambda w: w <> ''))")
 scalar("sentences", "documents", "doc_id", lambda: F.size(chunking.sentences(F.col("text"))).cast("long"), r"len(regexp_extract_all(text, '[.!?]\s+[A-Z(]')) + 1")
 scalar("token_budget", "lineitem", "l_orderkey", lambda: chunking.token_budget(F.col("l_quantity") * 20, F.col("l_quantity") * 10), "CAST(least(greatest(48, least(260, floor(l_quantity * 20 * 0.3 * 1.35))), greatest(24, floor(l_quantity * 10 * 1.35 * 0.85))) AS INT)")
-scalar("stem_legal", "part", "p_partkey", lambda: polarity.stem_legal(built("respons", F.when(F.col("p_size") > 25, "ibilities").otherwise("ibility"))), "'responsible'")
-scalar("neutralise", "part", "p_partkey", lambda: polarity.neutralise(built("No. ", F.col("p_size").cast("string"), " without limitation ", _NAME())), "'number ' || p_size || ' including ' || p_name")
-scalar("stem_topic", "part", "p_partkey", lambda: topics.stem_topic(built(F.substring_index("p_name", " ", -1), "s")), "split_part(p_name, ' ', 2)")
 scalar("norm_num", "lineitem", "l_orderkey", lambda: safety.norm_num(built("$", F.format_number("l_extendedprice", 2), "%")), "printf('%.2f', l_extendedprice)")
-scalar("tidy", "part", "p_partkey", lambda: safety.tidy(built("**The ", _NAME(), "** . . allgoods arrive"), F.lit("all goods")), "'The ' || p_name || ' all goods arrive'")
-scalar("unsupported", "part", "p_partkey", lambda: F.array_join(F.transform(safety.unsupported(built("It costs $", F.col("p_size").cast("string"), " in Paris."), F.lit("It costs $7 in Paris.")), lambda b: b["token"]), ","), "CASE WHEN p_size = 7 THEN '' ELSE '$' || p_size END")
-scalar("repair", "part", "p_partkey", lambda: safety.repair(built("The goods cost $", F.col("p_size").cast("string"), " each. They arrive on time here."), safety.unsupported(built("The goods cost $", F.col("p_size").cast("string"), " each."), F.lit("The goods cost $7 each."))), "CASE WHEN p_size = 7 THEN 'The goods cost $7 each. They arrive on time here.' ELSE 'The goods cost each. They arrive on time here.' END")
-scalar("verbatim", "part", "p_partkey", lambda: safety.verbatim(built("HEAD LINE. The seller of the ", _NAME(), " shall deliver it on time.")), "'The seller of the ' || p_name || ' shall deliver it on time.'")
-
-
-@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'invented-negation' ELSE NULL END AS kind FROM part")
-def flips(spark, sf):
-    rows = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") > 25, "The seller shall not deliver goods.").otherwise("The seller shall deliver goods.").alias("c"), F.lit("The seller shall deliver goods to the site.").alias("s"))
-    found = polarity.flips(F.col("c"), F.col("i"))
-    return rows.withColumn("i", polarity.polarity_index(F.col("s"))).select("p_partkey", F.try_element_at(found, F.lit(1))["kind"].alias("kind"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'It is fine.' ELSE 'The seller shall deliver goods. It is fine.' END AS text FROM part")
-def depolarise(spark, sf):
-    c = F.when(F.col("p_size") > 25, "The seller shall not deliver goods. It is fine.").otherwise("The seller shall deliver goods. It is fine.")
-    rows = table(spark, sf, "part").select("p_partkey", c.alias("c")).withColumn("i", polarity.polarity_index(F.lit("The seller shall deliver goods to the site.")))
-    return rows.withColumn("f", polarity.flips(F.col("c"), F.col("i"))).select("p_partkey", polarity.depolarise(F.col("c"), F.col("f")).alias("text"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size > 40 THEN 'faithful' WHEN p_size > 20 THEN 'abstractive-repaired' ELSE 'abstractive' END AS chosen FROM part")
@@ -264,11 +227,6 @@ def verify_tokens(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.size(verify.verify(built("It is ", F.col("p_size").cast("string"), "."), F.lit("It is 7."))).alias("findings"))
 
 
-@query("SELECT 'clause__' || o_custkey AS doc_key, ['PAY', 'PERM', 'OBLIG'] AS facets FROM orders GROUP BY o_custkey")
-def facets(spark, sf):
-    return D.clause_md(spark, sf).select("doc_key", verify.facets(F.col("raw")).alias("facets"))
-
-
 @query("SELECT 'order__' || l_orderkey AS doc_key, 1 AS checked, 0 AS invented FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey")
 def money_audit(spark, sf):
     docs = D.order_md(spark, sf)
@@ -276,11 +234,6 @@ def money_audit(spark, sf):
     return verify.money_audit(most, docs)
 
 
-@query("SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) >= 12 AS copied FROM documents")
-def copy_test(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", verify.near_verbatim(F.col("text"), F.col("text")).alias("copied"))
-
-
 @query()
 def chunk_parts(spark, sf):
     parts = chunking.split_parts(F.col("text"), 256)
@@ -453,11 +406,6 @@ def split_renders(spark, sf):
     return reports.split_renders(rows).where("summaries_text <> ''").select("doc_key", "summaries_text")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'statements' ELSE 'agreements' END AS value FROM part", "folder_doctype")
-def folder_doctype(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", topics.folder_doctype(F.when(F.col("p_size") > 25, "bills").otherwise("other")).alias("value"))
-
-
 @query("SELECT 'order__' || o_orderkey AS doc_key, CASE WHEN n > 0 THEN 1 ELSE 0 END AS source_tables, 0 AS source_pictures FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)")
 def outline_meta(spark, sf):
     docs = D.order_md(spark, sf)
@@ -493,6 +441,23 @@ CASES: dict[str, tuple[str, list[tuple[str, str, int | None]]]] = {
         _ARTICLES + "EXHIBIT A\n\n" + _BODY + "IN WITNESS WHEREOF, the parties sign.\n\nBy: A\nName: B\nTitle: C\n",
         [("ARTICLE I DEFINITIONS", "caps", None), ("ARTICLE II SALE OF @U", "caps", None), ("ARTICLE III PRICE", "caps", None), ("ARTICLE IV TERM", "caps", None), ("ARTICLE V NOTICES", "caps", None), ("EXHIBIT A", "caps", None), ("signature block", "signature", 5)],
     ),
+    "html": ("<h2>@N</h2>\n\n" + _BODY + "<h3>Next <b>Part</b></h3>\n" + _BODY, [("@N", "html-heading", None), ("Next Part", "html-heading", None)]),
+    "allowlist": (
+        "1. Scope Of @N\n\n" + _BODY + "".join(f"{k}. {t} Of Goods\n\n{_BODY}" for k, t in ((2, "Price"), (3, "Place"), (4, "Time"), (5, "Risk"))) + "Scope Of @N is settled by what is set out here.\n\n" + _BODY,
+        [("1. Scope Of @N", "clause", None), ("2. Price Of Goods", "clause", None), ("3. Place Of Goods", "clause", None), ("4. Time Of Goods", "clause", None), ("5. Risk Of Goods", "clause", None), ("Scope Of @N", "allowlist", None)],
+    ),
+    "runs": ("Alpha Item\nBeta Item\n@N\n" + _BODY, [("Alpha Item", "inferred", None)]),
+    "caption": ("Sales Figures\n<table><tr><td>@N</td></tr></table>\n\nOther Title\n\n" + _BODY, [("[preamble - before first heading]", "preamble", None), ("Other Title", "inferred", None)]),
+    "banner": (_ARTICLES + "FOR RELEASE\n\n" + _BODY, [("ARTICLE I DEFINITIONS", "caps", None), ("ARTICLE II SALE OF @U", "caps", None), ("ARTICLE III PRICE", "caps", None), ("ARTICLE IV TERM", "caps", None), ("ARTICLE V NOTICES", "caps", None)]),
+    "continued": ("@U TERMS\n\n" + _BODY + "@U TERMS (CONTINUED)\n\n" + _BODY + "@U TERMS\n\n" + _BODY, [("@U TERMS", "caps", None)]),
+    "unnamed": (
+        "".join(f"{k}. The seller of the goods must **Duty {c}** see to all of it in good time.\n{_BODY}" for k, c in zip(range(1, 6), "ABCDE")),
+        [(f"{k} Duty {c}", "clause", None) for k, c in zip(range(1, 6), "ABCDE")],
+    ),
+    "nested": (
+        "1. Scope Of @N\n\n1.1 Delivery Duty\n" + _BODY + "2. Price\n\n2.1 Payment Duty\n" + _BODY + "2.1.1 Late Duty\n" + _BODY + "3. End Terms\n\n" + _BODY,
+        [("1. Scope Of @N", "clause", None), ("1.1 Delivery Duty", "decimal", 0), ("2. Price", "clause", None), ("2.1 Payment Duty", "decimal", 2), ("2.1.1 Late Duty", "decimal", 3), ("3. End Terms", "clause", None)],
+    ),
     "contents": ("Contents\n" + "".join(f"Alpha Item .... {k}\n" for k in range(8)) + "\n**@N**\n\n" + _BODY, [("Contents", "inferred", None), ("@N", "bold-only", None)]),
 }
 
@@ -527,7 +492,8 @@ def rule_counts(spark, sf):
     return sections.sectionise(case_documents(spark, sf)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_CASE_SQL + "SELECT DISTINCT doc_key, CASE c WHEN 'contents' THEN 'flat' ELSE c END AS regime FROM s")
+@query(_CASE_SQL + """SELECT DISTINCT doc_key, CASE WHEN c IN ('contents', 'html', 'runs', 'caption', 'continued') THEN 'flat'
+  WHEN c IN ('allowlist', 'banner', 'unnamed', 'nested') THEN 'clauses' ELSE c END AS regime FROM s""")
 def regime_cases(spark, sf):
     return survey.signals(case_documents(spark, sf)).select("doc_key", "regime")
 
@@ -568,3 +534,20 @@ def nest_lettered(spark, sf):
 @query(_CASE_SQL + "SELECT doc_key, parent FROM s WHERE rule = 'signature'")
 def nest_attachments(spark, sf):
     return sections.sectionise(case_documents(spark, sf)).where("rule = 'signature'").select("doc_key", "parent")
+
+
+_NESTED = "SELECT doc_key, CAST(ord AS INT) AS \"order\", CAST(CASE WHEN rule = 'clause' THEN 0 WHEN title LIKE '_._._ %' THEN 2 ELSE 1 END AS INT) AS depth, ord IN (0, 2) AS container_only FROM s WHERE c = 'nested'"
+
+
+@query(_CASE_SQL + _NESTED)
+def container_only(spark, sf):
+    found = sections.sectionise(case_documents(spark, sf).where("doc_key LIKE 'nested%'"))
+    return outline.with_paths(found).select("doc_key", "order", "depth", "container_only")
+
+
+@query(_CASE_SQL + """SELECT doc_key, CAST(ord AS INT) AS line_no, CASE WHEN c = 'nested' AND rule = 'decimal' THEN repeat('  ', CASE WHEN title LIKE '_._._ %' THEN 2 ELSE 1 END) || '|_ ' ELSE '' END
+  || CASE WHEN rule IN ('whole-document', 'preamble') THEN 'no header' ELSE title END || CASE WHEN rule = 'preamble' THEN '   [1 table]' ELSE '' END AS line
+  FROM s WHERE c IN ('nested', 'letter', 'caption')""")
+def outline_cases(spark, sf):
+    found = case_documents(spark, sf).where("split_part(doc_key, '__', 1) IN ('nested', 'letter', 'caption')")
+    return outline.outline_lines(sections.sectionise(found)).select("doc_key", "line_no", "line")
