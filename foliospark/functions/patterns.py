@@ -85,7 +85,7 @@ NOISE = (
 )
 WITNESS = UI + r"^\s*(?:\*\*)?IN WITNESS\s+(?:WHEREOF|THEREOF)"
 SIGNATURE_FIELD = UI + r"^\s*(?:\*\*)?(Signature|DocuSigned by|By|Name|Title|Date|Witness|Printed Name|Print Name|Its|Attest)\s*:"
-FURNITURE_LINE = UI + r"^(?:\d{1,4}|[A-Z](?:\s+[A-Z]){2,}|T E S L A|KEYLINE|VN|Empty Row|-{3,}|\(Unaudited\)|\(continued\)|\(cont\.?\))$"
+FURNITURE_LINE = UI + r"^(?:\d{1,4}|[A-Z](?:\s+[A-Z]){2,}|KEYLINE|VN|Empty Row|-{3,}|\(Unaudited\)|\(continued\)|\(cont\.?\))$"
 LEAD_NOISE = (
     U + r"^[\d\W]+$",
     U + r"^\d{3}[.\-]\d{3}[.\-]\d{4}$",
@@ -123,7 +123,7 @@ TOTAL_LABEL = UI + r"\b(total|subtotal|sum|grand)\b"
 PIPE_ROW = U + r"^\s*\|(.+)\|\s*$"
 RULER_ROW = U + r"^[\s|:\-]+$"
 PERIOD = UI + r"\b(FY\s?\*?\s?\d{2,4}|Q[1-4]|20\d\d|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec|month|quarter|year|week|wave|phase)\b"
-ROLE_HEADER = UI + r"\b(responsib|accountab|owner|RACI|supplier|client|customer|accenture|medtronic|vendor|party)\b"
+ROLE_HEADER = UI + r"\b(responsib|accountab|owner|RACI|supplier|client|customer|vendor|party)\b"
 MONEY_HEADER = UI + r"\b(fee|fees|cost|costs|price|pricing|rate|charge|charges|amount|payment|invoice|\$|USD)\b"
 DELIVERABLE_HEADER = UI + r"\b(deliverable|milestone|activity|activities|task)\b"
 INVENTORY_HEADER = UI + r"\b(report|application|system|tool|document)\b"
@@ -219,5 +219,5 @@ TOPIC_STOP = tuple(
 )
 TOPIC_WORD = U + r"[A-Za-z][A-Za-z-]{2,}"
 TOPIC_ENDINGS = ("ements", "ement", "ances", "ance", "ences", "ence", "ions", "ion", "ings", "ing", "ures", "ure", "ies", "ed", "es", "s", "e")
-FOLDER_TYPES = {"bills": "statements", "tesla_data": "reports", "contracts": "agreements", "legal_data": "agreements"}
+FOLDER_TYPES = {"bills": "statements", "reports": "reports", "contracts": "agreements", "legal_data": "agreements"}
 PASSAGE_CHARS, TOPIC_LEAST, TOPIC_MOST = 1600, 0.55, 3

@@ -47,7 +47,7 @@ def signature_meaning(d: Column) -> Column:
     party = F.coalesce(*(F.regexp_replace(X.strip(X.first(d, p)), ",+$", "") for p in P.SIGNER_PARTY))
     when = X.first(d, P.U + P.FIGURE_DATE, 0)
     bits = F.array_compact(F.array(F.concat(F.lit("for "), party), F.concat(F.lit("by "), who), F.concat(F.lit("("), F.coalesce(*titles), F.lit(")")), F.concat(F.lit("on "), when)))
-    blank = F.concat(signed, F.lit(" signature block. Landing did not record a name in it -- the block itself may be a blank template."))
+    blank = F.concat(signed, F.lit(" signature block without a readable name; it may be a blank template."))
     return X.let(bits, lambda b: F.when(F.size(b) == 0, blank).otherwise(F.concat(signed, F.lit(" "), F.array_join(b, " "), F.lit("."))))
 
 

@@ -158,7 +158,7 @@ def choose(drafts: DataFrame, faithful: str = "faithful", abstractive: str = "ab
     reason = (
         F.when(clean, F.when(a_cut, "polarity corrected, rewrite kept").otherwise("clean as generated")).when(mended, "unsupported figure/date removed, rewrite kept")
         .when(none & extract, F.when(f_cut, "polarity corrected against the section").otherwise("no abstractive draft")).when(extract, "rewrite unusable; extract clean")
-        .when(none, "only draft flips polarity").otherwise("both BART drafts unsafe -- quoting the section")
+        .when(none, "only draft flips polarity").otherwise("neither draft is safe, so the section is quoted")
     )
     text = F.when(clean, F.col("_ad")).when(mended, F.col("_rd")).when(extract, F.col("_fd")).otherwise(verbatim(s))
     unusable = ~none & ~clean & ~mended

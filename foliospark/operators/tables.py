@@ -112,8 +112,12 @@ def table_facts(tables: DataFrame, body_col: str = "body", caption_col: str | No
     )
 
 
-def table_purpose() -> Column:
-    """What a table of :func:`table_facts` is for, in a sentence; null where nothing tells."""
+def table_purpose(parties: tuple[str, ...] = ()) -> Column:
+    """What a table of :func:`table_facts` is for, in a sentence; null where nothing tells.
+
+    ``parties`` are names that mark a column as a party's, beside the common words.
+    """
+    named = "|".join([P.ROLE_HEADER, *(P.UI + rf"\b\Q{p}\E\b" for p in parties)])
     head = F.concat_ws(" ", F.filter("header", lambda c: c != ""))
     later = F.filter(F.slice(F.filter("header", lambda c: c != ""), 2, F.greatest(F.size("header"), F.lit(1))), lambda c: c.rlike(P.PERIOD))
     rows = F.size("rows")
@@ -127,7 +131,7 @@ def table_purpose() -> Column:
     return (
         F.when(money & (F.size(later) > 0), F.format_string("This is a cost breakdown: %d cost lines priced across %d %ss.", labels, F.size(later), unit))
         .when(money, F.format_string("This is a pricing table: %d rows with amounts against them.", rows))
-        .when(head.rlike(P.ROLE_HEADER) & ticks, F.format_string("This is a split of who does what: %d activities, ticked against the party responsible.", rows))
+        .when(head.rlike(named) & ticks, F.format_string("This is a split of who does what: %d activities, ticked against the party responsible.", rows))
         .when(F.size(later) >= 2, F.format_string("This is a timetable: %d rows scheduled across %d %ss.", rows, F.size(later), step))
         .when(head.rlike(P.DELIVERABLE_HEADER), F.format_string("This is a list of deliverables or activities: %d of them.", rows))
         .when(head.rlike(P.INVENTORY_HEADER), F.format_string("This is an inventory: %d %ss listed, one per row.", rows, thing))

@@ -36,8 +36,9 @@ def grounded(anchors: Column, text: Column) -> Column:
     return F.arrays_overlap(anchors, stems(text))
 
 
-def folder_doctype(folder: Column) -> Column:
-    return F.coalesce(*(F.when(folder == k, F.lit(v)) for k, v in P.FOLDER_TYPES.items()), F.lit("agreements"))
+def folder_doctype(folder: Column, types: dict[str, str] = P.FOLDER_TYPES) -> Column:
+    """The type of documents that a folder holds; agreements where ``types`` does not say."""
+    return F.coalesce(*(F.when(folder == k, F.lit(v)) for k, v in types.items()), F.lit("agreements"))
 
 
 def topic_candidates(sections: DataFrame, topics: DataFrame, doctype_col: str = "doctype") -> DataFrame:

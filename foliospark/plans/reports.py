@@ -148,7 +148,7 @@ def grouped_outlines(outlines: DataFrame) -> DataFrame:
     return outlines.groupBy("doc_type").agg(F.concat_ws("\n\n", head, F.array_join(F.transform(held, lambda x: x["text"]), "\n\n")).alias("text"))
 
 
-def type_order(doc_type: Column, first: tuple[str, ...] = ("tesla_data", "bills", "contracts", "legal_data")) -> Column:
+def type_order(doc_type: Column, first: tuple[str, ...] = ("reports", "bills", "contracts", "legal_data")) -> Column:
     """Sort key of types: the preferred ones in their order, then the others by name."""
     place = F.coalesce(*(F.when(doc_type == t, F.lit(k)) for k, t in enumerate(first)), F.lit(len(first)))
     return F.struct(place.alias("place"), doc_type.alias("name"))

@@ -551,3 +551,16 @@ def container_only(spark, sf):
 def outline_cases(spark, sf):
     found = case_documents(spark, sf).where("split_part(doc_key, '__', 1) IN ('nested', 'letter', 'caption')")
     return outline.outline_lines(sections.sectionise(found)).select("doc_key", "line_no", "line")
+
+
+@query("SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_name) AS BIGINT) AS n FROM customer")
+def list_docs(spark, sf):
+    return D.list_docs(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_name").select("c_custkey", "n")
+
+
+@query("""SELECT c_custkey, 'n' AS by FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_name) AS n FROM customer) WHERE n = 12
+UNION ALL SELECT c_custkey, 're' FROM customer WHERE regexp_matches(c_name, '(?i)1.0$')""")
+def select_docs(spark, sf):
+    files = table(spark, sf, "customer").select("c_custkey", "c_name")
+    picked = lambda w, by: D.select_docs(files, w, "c_name").select("c_custkey", F.lit(by).alias("by"))
+    return picked("12", "n").union(picked("1.0$", "re"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as X
+from ..storage import durable
 
 
 def doc_key(doc_type: Column, file: Column) -> Column:
@@ -31,19 +32,42 @@ def drop_sidecars(files: DataFrame) -> DataFrame:
 
 
 def pick_docs(files: DataFrame, pattern: str, path_col: str = "path") -> DataFrame:
-    """Files whose path contains one of the ``|``-separated patterns, whatever the case."""
+    """Files whose path contains one of the ``|``-separated patterns, whatever the case.
+
+    No pattern: all files. A pattern that matches nothing is an error.
+    """
     wanted = [p.strip().lower() for p in pattern.split("|") if p.strip()]
     if not wanted:
         return files
     test = F.lit(False)
     for p in wanted:
         test = test | F.lower(path_col).contains(p)
-    return files.where(test)
+    found = files.where(test)
+    if found.isEmpty():
+        raise ValueError(f"no file matches {pattern!r}")
+    return found
 
 
 def list_docs(files: DataFrame, path_col: str = "path") -> DataFrame:
-    """``files`` numbered from 1 by path within their type, to select by ordinal."""
-    return files.withColumn("n", F.row_number().over(W.partitionBy("doc_type").orderBy(path_col)))
+    """``files`` with ``n``, their place in the whole list by path, from 1.
+
+    The list is sorted over all partitions and numbered within them; only the partitions'
+    sizes are added up, so no task sees the whole list.
+    """
+    ordered = durable(files.orderBy(path_col).withColumn("_p", F.spark_partition_id()))
+    sizes = ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    starts = sizes.select("_p", (F.sum("_c").over(W.orderBy("_p")) - F.col("_c")).alias("_s"))  # a row a partition
+    within = F.row_number().over(W.partitionBy("_p").orderBy(path_col))
+    return ordered.join(F.broadcast(starts), "_p").withColumn("n", (F.col("_s") + within).cast("long")).drop("_p", "_s")
+
+
+def select_docs(files: DataFrame, wanted: str, path_col: str = "path") -> DataFrame:
+    """Files by ``all``, by their number in :func:`list_docs`, or by a regular expression on the path."""
+    if wanted == "all":
+        return files
+    if wanted.isdigit():
+        return list_docs(files, path_col).where(F.col("n") == int(wanted)).select(*files.columns)
+    return files.where(F.col(path_col).rlike(f"(?i){wanted}"))
 
 
 def resume_antijoin(files: DataFrame, done: DataFrame, force: bool = False, least_bytes: int = 200) -> DataFrame:

@@ -260,7 +260,13 @@ def test_scan_picks_and_numbers(spark, folder):
     assert {r.doc_key for r in docs.collect()} == {"bills__one", "legal__a_b"}
     assert "�" in docs.where("doc_type = 'bills'").first().raw
     assert [r.doc_key for r in D.pick_docs(docs, "ONE|zzz").collect()] == ["bills__one"]
-    assert {r.n for r in D.list_docs(docs).collect()} == {1}
+    with pytest.raises(ValueError):
+        D.pick_docs(docs, "zzz")
+    listed = {r.n: r.path for r in D.list_docs(docs).collect()}
+    assert sorted(listed) == list(range(1, len(listed) + 1)) and [listed[k] for k in sorted(listed)] == sorted(listed.values())
+    assert D.select_docs(docs, "all").count() == len(listed)
+    assert [r.path for r in D.select_docs(docs, "2").collect()] == [listed[2]]
+    assert [r.doc_key for r in D.select_docs(docs, "/O.E").collect()] == ["bills__one"]
 
 
 @pytest.mark.parametrize("wrap", [True, False])
@@ -283,8 +289,8 @@ def test_votes_and_grouping(spark):
     assert rows(reports.majority_vote(votes)) == [(1, 3, 2, True), (2, 2, 1, False)]
     outlines = spark.createDataFrame([("bills", "b.md", "B"), ("bills", "a.md", "A")], "doc_type string, file string, text string")
     assert reports.grouped_outlines(outlines).first().text.split("\n")[-3:] == ["A", "", "B"]
-    order = spark.createDataFrame([("zeta",), ("bills",), ("tesla_data",), ("alpha",)], "t string").orderBy(reports.type_order(F.col("t")))
-    assert [r.t for r in order.collect()] == ["tesla_data", "bills", "alpha", "zeta"]
+    order = spark.createDataFrame([("zeta",), ("bills",), ("reports",), ("alpha",)], "t string").orderBy(reports.type_order(F.col("t")))
+    assert [r.t for r in order.collect()] == ["reports", "bills", "alpha", "zeta"]
 
 
 def test_stems_differ_by_use(spark):
