@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +10,8 @@ import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import durable, shared_dir  # noqa: F401  durable is used from here
+
 #: Stands for a null id where ids are ordered: nulls come last.
 NULL_ID = 2**63 - 1
 
@@ -22,27 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests,
-    local mode) a temporary folder is made and used for checkpoints as well.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    own = tempfile.mkdtemp(prefix="foliospark-")
-    atexit.register(shutil.rmtree, own, True)
-    spark.sparkContext.setCheckpointDir(f"file://{own}")
-    return f"file://{own}"
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder, its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as parquet in the shared folder and read back: columns stay prunable."""
     spark = df.sparkSession
