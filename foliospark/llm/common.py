@@ -44,11 +44,19 @@ def row_key(doc: Column, text: Column) -> Column:
 
 
 def only_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` named in ``kept(key)``: one where rows agree in id and text."""
+    """The rows of ``docs`` named in ``kept(key)``: one where rows agree in id and text.
+
+    Keys are narrow and written first, so Spark knows their size when it picks the join; only
+    rows whose key occurs twice or more are numbered.
+    """
     key, number = "_row_key_", "_row_number_"
     named = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col)))
-    first = named.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(number) == 1)
-    return first.join(kept.select(F.col("key").alias(key)), key, "left_semi").select(*docs.columns)
+    kept = written(kept.select(F.col("key").alias(key)), "kept-keys")
+    twice = written(named.groupBy(key).count().where(F.col("count") > 1).select(key), "repeated-keys")
+    single = named.join(kept.join(twice, key, "left_anti"), key, "left_semi")
+    repeated = named.join(kept.join(twice, key, "left_semi"), key, "left_semi")
+    first = repeated.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(number) == 1)
+    return single.unionByName(first.drop(number)).select(*docs.columns)
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ CROWD = 8
 #: Bounds the arrays of one step.
 PAIRS_A_BATCH = 1 << 16
 #: Segments of the hash space whose shingles are counted.
-SEGMENT_BITS = 6
+SEGMENT_BITS = 8
 _ROW = "token long, node long, size int, at int"
 
 
@@ -55,12 +55,12 @@ def shingle_set(text: str | None, ngram: int = 5) -> np.ndarray:
 
 
 def segment_counts(shingles: np.ndarray) -> bytes:
-    """How many shingles each segment of the hash space has, at most 65,535.
+    """The number of shingles in four bytes, then how many each segment of the hash space has, at most 255.
 
     Cutting numbers off only brings them closer, so the bound below stays one.
     """
     counts = np.bincount((shingles >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64), minlength=1 << SEGMENT_BITS)
-    return np.minimum(counts, 65_535).astype(np.uint16).tobytes()
+    return len(shingles).to_bytes(4, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def _least(share: float, n: np.ndarray | int) -> np.ndarray:
@@ -241,33 +241,32 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, ngram: int, s
         return pairs.select("a", "b", "x", "y")
 
     def able(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1).astype(np.int64) for c in ("x", "y"))
-        apart, sizes = np.abs(x - y).sum(axis=1), (x + y).sum(axis=1)
-        whole = (x.max(axis=1) < 65_535) & (y.max(axis=1) < 65_535)
-        return batch.select(["a", "b"]).filter(pa.array(~whole | (apart <= _most_apart(sizes, similarity))))
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("x", "y"))
+        sizes = sum(np.ascontiguousarray(v[:, :4]).view(np.uint32).ravel().astype(np.int64) for v in (x, y))
+        apart = np.abs(x[:, 4:].astype(np.int16) - y[:, 4:]).sum(axis=1, dtype=np.int64)
+        return batch.select(["a", "b"]).filter(pa.array(apart <= _most_apart(sizes, similarity)))
 
     pairs = written(arrow_map(with_column(pairs.distinct(), nodes, "segments"), able, "a long, b long"), "near-pairs")
     if pairs.isEmpty():
         return pairs
-    # Only texts with a candidate left are shingled again.
-    asked = nodes.select("node", "key").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    asked = written(asked.select("key"), "near-asked")
-
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingle_set(x.as_py(), ngram).tobytes() for x in batch.column("text")]
-        return pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(_name, found), np.int64, len(found))), pa.array(found, pa.binary())], ["node", "shingles"])
-
-    known = written(arrow_map(rows.join(asked, "key", "left_semi").select("text"), sets, "node long, shingles binary").dropDuplicates(["node"]), "near-sets")
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(batch.column("x"), batch.column("y")):
-            x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
-        return batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return durable(arrow_map(with_column(pairs, known, "shingles"), each, "a long, b long"))
+    # Texts travel rather than sets, which are larger and do not compress.
+    asked = nodes.select("node", F.col("best.key").alias("key")).join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    asked = written(asked, "near-asked")
+    known = written(rows.join(asked, "key").select("node", "text").dropDuplicates(["node"]), "near-texts")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
+        for batch in batches:
+            keep = []
+            for b, x, y in zip(batch.column("b").to_pylist(), batch.column("x"), batch.column("y")):
+                if held[0] != b:  # rows come by b after the last join
+                    held = (b, shingle_set(y.as_py(), ngram))
+                x, y = shingle_set(x.as_py(), ngram), held[1]
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return durable(with_column(pairs, known, "text").mapInArrow(each, "a long, b long"))
 
 
 def _name(shingles: bytes) -> int:
@@ -319,11 +318,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         columns = [batch.column("least"), batch.column("key"), node, fp, pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.binary()), pa.array(map(segment_counts, sets), pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["least", "key", "node", "fp", "size", "first", "segments"])
 
-    seen = written(arrow_map(rows, each, "least long, key binary, node long, fp long, size int, first binary, segments binary"), "near-rows")
-    # Rows of one node agree in all of these.
+    seen = arrow_map(rows, each, "least long, key binary, node long, fp long, size int, first binary, segments binary")
+    # Rows of one node agree in all of these; the node stands for its first row.
     held = ("fp", "size", "first", "segments")
-    nodes = written(seen.groupBy("node").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in held)), "near-nodes")
+    nodes = written(seen.groupBy("node").agg(F.min(F.struct("least", "key")).alias("best"), *(F.first(c).alias(c) for c in held)), "near-nodes")
     parts = near_copy_components(nodes, rows.select("key", "text"), ngram, similarity)
-    tagged = seen.select("least", "key", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    kept = tagged.groupBy("part").agg(F.min(F.struct("least", "key")).alias("first")).select(F.col("first.key").alias("key"))
+    tagged = nodes.select("best", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    kept = tagged.groupBy("part").agg(F.min("best").alias("first")).select(F.col("first.key").alias("key"))
     return only_rows(docs, kept, id_col, text_col)
