@@ -74,17 +74,20 @@ def drafted(sections: DataFrame, options: Options, faithful: Callable | None, ab
 
 
 def section_index(docs: DataFrame, options: Options = Options(), faithful: Callable | None = None, abstractive: Callable | None = None) -> DataFrame:
-    """The index row of every section of ``docs(doc_key, raw)``; see :func:`routed` for routes."""
+    """The index row of every section of ``docs(doc_key, raw)``; see :func:`routed` for routes.
+
+    Sections, drafts and payloads are written on the way, so no later step computes them again.
+    """
     base = durable(routed(sectionise(docs), options))  # read by every route below
     reason = F.concat(F.lit("section is "), F.col("words").cast("string"), F.lit(" words; quoting it is more faithful than rewording it and no longer"))
     short = base.where("route = 'extractive-short'").withColumns({"summary": safety.verbatim(F.col("text"), 3), "chosen": F.lit("extractive-short"), "reason": reason})
     short = short.withColumn("summary_extractive", F.col("summary"))
-    model = drafted(base.where("route = 'model'"), options, faithful, abstractive)
+    model = durable(drafted(base.where("route = 'model'"), options, faithful, abstractive))
     rest = base.where("route = 'none'")
     out = short.unionByName(model, True).unionByName(rest, True)
     findings = F.when(F.col("route") == "model", F.transform(verify.verify(F.col("summary"), F.col("text")), lambda f: f["token"])).otherwise(F.expr("CAST(array() AS array<string>)"))
     out = out.withColumns({"findings": findings, "facets": verify.facets(F.col("full"))})
-    return out.join(payloads(base), ["doc_key", "order"], "left")
+    return out.join(durable(payloads(base)), ["doc_key", "order"], "left")
 
 
 def label_topics(sections: DataFrame, vocabulary: DataFrame, options: Options = Options(), entail: Callable | None = None) -> DataFrame:
