@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .common import durable
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: every ``u`` has one edge and none of them is a ``v``."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
@@ -23,8 +25,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     u, v = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     links = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(u, v).where("u <> v").distinct()
     links = durable(links)
-    before = _signature(links)
-    for _ in range(most_rounds if before[0] else 0):
+    rounds = 0
+    while not _settled(links):
+        if rounds == most_rounds:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        rounds += 1
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -34,12 +39,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
             F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
         )
         links = durable(small.where("u <> v").distinct())
-        after = _signature(links)
-        if after == before:
-            break
-        before = after
-    else:
-        if before[0]:
-            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = links.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -251,7 +251,6 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, ngram: int, s
         return pairs
     # Texts travel rather than sets, which are larger and do not compress.
     asked = nodes.select("node", F.col("best.key").alias("key")).join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    asked = written(asked, "near-asked")
     known = written(rows.join(asked, "key").select("node", "text").dropDuplicates(["node"]), "near-texts")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +290,10 @@ def near_copy_components(nodes: DataFrame, rows: DataFrame, ngram: int, similari
     links = _verified(pairs, nodes, rows, ngram, similarity)
     parts = connected_components(links)
     more = _verified(_still_apart(crowd, parts, similarity), nodes, rows, ngram, similarity)
-    return parts if more.isEmpty() else connected_components(links.union(more))
+    if more.isEmpty():
+        return parts
+    # Components are stars already: only what ties two of them is left to settle.
+    return connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8) -> DataFrame:
