@@ -12,7 +12,7 @@ import numpy as np
 _RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "title", "textarea", "select", "math", "canvas", "audio", "video")
 #: Possessive throughout, and what is left open runs to the end: linear on any input.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(_RAW) + r")(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])[^>]*+(?<=/)>|<(" + "|".join(_RAW) + r")(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
@@ -95,6 +95,13 @@ class Tree:
                 run.clear()
             linked = 0
 
+        opened: dict[str, int] = {}  # open elements by name: an end tag without one costs nothing
+
+        def close() -> str:
+            tag = stack.pop()[0]
+            opened[tag] -= 1
+            return tag
+
         for m in _TOKEN.finditer(html):
             if m.start() > at and not head:
                 piece = html[at : m.start()]
@@ -122,22 +129,22 @@ class Tree:
             flush()
             in_link = 0
             if m[2]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if opened.get(tag):
+                    while close() != tag:
+                        pass
                 continue
             if tag in VOID:
                 if tag == "input":
                     self.controls[stack[-1][1]] += 1
                 continue
             if stack[-1][0] == "p":
-                stack.pop()
+                close()
             closes = _CLOSES.get(tag)
             if closes:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in closes:
-                        del stack[k:]
+                        while len(stack) > k:
+                            close()
                         break
                     if stack[k][0] in _STOPS:
                         break
@@ -147,6 +154,7 @@ class Tree:
                 self.controls[node] += 1
             if not m[4].endswith("/") or tag not in VOID:
                 stack.append((tag, node))
+                opened[tag] = opened.get(tag, 0) + 1
         if at < len(html) and not head:
             run.append(html[at:])
         flush()

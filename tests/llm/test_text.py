@@ -341,3 +341,13 @@ def test_pipeline_stages_follow_each_other(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs_of, SF).collect()
     check_packing(pieces, {d: [*library_ids(library, t), 0] for d, t in texts.items()}, 1024)
     assert rows(corpus_pipeline.run(spark, SF).select("doc_id", "doc_tokens").distinct()) == sorted({(p.doc_id, p.doc_tokens) for p in pieces}, key=repr)
+
+
+def test_page_trees_keep_what_follows_an_empty_drawing_and_close_in_linear_time():
+    from foliospark.llm.html_tree import Tree
+
+    assert [t for t in Tree('<p>One <svg class="i"/> two.</p><p>Three.</p>').text if t] == ["One two.", "Three."]
+    assert [t for t in Tree('<p>A<svg><path d="x"/></svg>B</p>').text if t] == ["AB"]
+    assert [t for t in Tree("<div>a</b1></p>b<section>c</div>d").text if t] == ["a", "b", "c", "d"]
+    deep = Tree("<div>" * 20_000 + "x" + "</section>" * 20_000 + "y")
+    assert [t for t in deep.text if t] == ["x", "y"]
