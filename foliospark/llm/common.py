@@ -14,6 +14,9 @@ from ..storage import durable, shared_dir  # noqa: F401  durable is used from he
 
 #: Stands for a null id where ids are ordered: nulls come last.
 NULL_ID = 2**63 - 1
+#: Bytes of an Arrow batch between Spark and Python, about. Each side of a task holds a few of them.
+ARROW_BYTES = 4 << 20
+_ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +37,17 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of an Arrow batch to ``ARROW_BYTES``; a lower one stays.
+
+    Plans run after the operator has returned, so the limit is the session's. No result
+    depends on it: groups reach Python whole, in more batches.
+    """
+    own = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_ARROW_LIMIT))
+    if not 0 < own <= ARROW_BYTES:
+        spark.conf.set(_ARROW_LIMIT, str(ARROW_BYTES))
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -80,4 +94,5 @@ def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], s
             if batch.num_rows:
                 yield each(batch)
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, arrow_map, durable, only_rows, parallelism, row_key, written
+from .common import NULL_ID, arrow_map, bound_batches, durable, only_rows, parallelism, row_key, written
 from .components import connected_components
 from .simhash import near_links, print_of
 
@@ -305,6 +305,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids; rows are told apart by id and text, and of rows equal in both one stays. Empty table:
     empty result. All columns are kept, whatever their names.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("least"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
     frequent = _frequent(rows, docs.count(), ngram)
 

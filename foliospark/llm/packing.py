@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PRETOKENS, Encoder, Vocabulary, byte_alphabet, check_plain, special_pattern
-from .common import NULL_ID, parallelism, slices, written
+from .common import NULL_ID, bound_batches, parallelism, slices, written
 
 END = 0
 #: Hilbert curve: dimensions and bits of each; below them bits that deal out equal vectors.
@@ -136,6 +136,7 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                 columns = [batch.column("doc_id"), batch.column("mix"), pa.array(curve), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mix", "curve", "n", "ids"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.withColumn("mix", F.xxhash64("doc_id", "text")).mapInArrow(run, "doc_id long, mix long, curve long, n long, ids binary")
 

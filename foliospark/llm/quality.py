@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bound_batches, slices
 
 NGRAM, BUCKET_BITS = 3, 16
 #: Characters counted as symbols.
@@ -66,6 +66,7 @@ def ngram_counts(docs: DataFrame) -> np.ndarray:
                     total -= np.bincount(codes[crossing(ends, len(codes))], minlength=1 << BUCKET_BITS)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total), pa.int32()), pa.array(total[total > 0])], ["bucket", "n"])
 
+    bound_batches(docs.sparkSession)
     sums = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << BUCKET_BITS)
     out[sums["bucket"].to_numpy(np.int64)] = sums["n"]
@@ -235,6 +236,7 @@ def quality_rules(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    bound_batches(docs.sparkSession)
     return rows.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double")
 
 
@@ -251,4 +253,5 @@ def with_good_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_i
                 failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MOST_REPEATED_PERCENT * s["n_words"])
                 yield part.filter(pa.array(~failed & (mean_ratio(batch, ratios) >= threshold)))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, parallelism
+from .common import NULL_ID, bound_batches, parallelism
 from .suffix_arrays import common_prefixes, suffix_array
 
 MATCH, GRAM = 50, 20
 #: Text of a document part and of an anchor part, about.
 PART_BYTES = 8_000_000
 #: Text whose anchors are found at once, and text of a shard's suffix array.
-BATCH_BYTES, SHARD_BYTES = 1_000_000, 1_500_000
+BATCH_BYTES, SHARD_BYTES = 250_000, 750_000
 #: Anchors held by this share of about ``PROBE_ROWS`` documents are routed window by window.
 PROBE_ROWS, FREQUENT_SHARE = 20_000, 0.005
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -373,6 +373,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Columns of any other name pass through.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     own = [f"c{k}" for k in range(len(docs.columns))]
     row = docs.toDF(*own)
     doc_c, text_c = own[docs.columns.index(id_col)], own[docs.columns.index(text_col)]
