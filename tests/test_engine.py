@@ -43,6 +43,14 @@ def test_queries_are_their_sql(spark, name):
     assert a == b
 
 
+def test_articles_of_each_case_are_joined(spark):
+    of = lambda df, n: sorted(r.line for r in df.where(F.col("doc_key") == n).collect())
+    got = engine.join_numbers(spark, SF).persist()
+    every = engine._case_lines(spark, SF).where("line LIKE 'ARTICLE %' AND doc_key LIKE '%!_!_7' ESCAPE '!'").persist()
+    assert {r.c for r in got.select(F.split_part("doc_key", F.lit("__"), F.lit(1)).alias("c")).distinct().collect()} == {"clauses"}
+    assert len(of(got, "clauses__7")) == 5 and of(got, "clauses__7") == of(every, "clauses__7") == of(every, "banner__7")
+
+
 def test_entry_has_its_queries():
     found, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert engine.FLAGSHIP in found and set(sql) <= set(found)
