@@ -1,9 +1,13 @@
 """Window operators of lines and sections on hand-made cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import lines, sections
+from foliospark import cases
+from foliospark.operators import document, lines, outline, sections, survey
+from foliospark.sources.documents import spread
 
 
 def joined(spark, texts):
@@ -106,3 +110,69 @@ def test_numbered_lists_fold_when_asked(spark):
 def test_containers_are_short_and_have_children(spark):
     rows = [section(0, "A", text="A"), section(1, "B", parent=0), section(2, "C", text="C")]
     assert [r.container_only for r in sections.container_only(spark.createDataFrame(rows, SECTION)).orderBy("order").collect()] == [True, False, False]
+
+
+# -- one pass over a document ------------------------------------------------------------------
+
+_ODD = ["", "", "", "  ", "# One", "# Two Terms", "## 2.1", "### 3.", "#", "# ", "#no", "1.", "2.", "1. Scope Of Work", "2. Price Of Goods", "3. the seller delivers all of it.", "1.1 Delivery Duty", "2.1 Payment. The buyer pays", "2.1.1 Late Duty", "4 Foo: bar baz", "10.2.3. **Big Term** here", "1.0 Zero",
+ "ARTICLE I", "ARTICLE II", "ARTICLE III DEFINITIONS", "Section 4", "SECTION", "CHAPTER 2.", "PART A:", "DEFINITIONS", "SALE OF GOODS", "SALE OF GOODS (CONTINUED)", "Terms - cont.", "FOR IMMEDIATE RELEASE", "PRESS RELEASE:", "T E R M S", "**BOLD CAPS**", "**Bold Line**", "__Odd Line**", "**Lead Here** and text", "**Price:** is $5", "*_x y_*", "***Both Marks***:",
+ "Alpha Item", "Beta Item", "Gamma Thing Here", "Alpha Item:", "Beta Item: x", "Name: B", "By: A", "Title: C", "Date: 1/2/2024", "IN WITNESS WHEREOF, the parties sign.", "Signature:", "Dear Ann", "Dear", "Sincerely,", "Regards", "(a) **Scope** applies", '(b) "Goods" means all', "(c) plain", "b) **Lower.** x", "EXHIBIT A", "Schedule 3 - Fees", "ANNEX", "Appendix B: Rates",
+ "<h2>Head</h2>", "<H3>Next <b>Part</b></h3>", "<a id='a1'></a>", "<a id='b2'></a>Market Outlook Now", "<table><tr><td>$5</td></tr></table>", "<table>\n<tr></tr>\n</table> tail", "| a | b | c |\n|---|---|---|\n| 1 | 2 | 3 |", "| a |", "<::pic of it::>", "<::fig <table><tr><td>in</td></tr></table> end::>", "<::>", "<:: ::>",
+ "Contents", "Table of Contents", "Alpha Item .... 3", "Beta ..... 12", "12", "iv", "Intro...5", "https://x.example/a", "Page 4", "Page 5 of 9", "<!-- PAGE BREAK -->", "DocuSign Envelope ID: 123", "P.O. Box 12", "555-123-4567", "12345 67", "The parties have agreed on all of the terms that are set out in this part of it.", "Short body text.", "lower case line", "ends with money $5,000",
+ "Running Head", "RUNNING HEAD", "KEPT WITH", "source of it", "Note 12 Here", "5 Jan Review", "12/05 Term", "1.\tTabbed Term", "  padded  ", "Café Étude", "Жизнь И То", "中文 标题", "line\rwith cr", "x\x1cy", "Title²", "MASK00001", "(block) MASK00000", "\x00BLK\x00", "BLK", "Kİ DOT", "naïve — dash:", "Scope Of Work is settled here.", "Price Of Goods and more", "Late Fees:", "This is a long line " + "of words " * 20, "A B C D E F G H I J K L", " sep", ":", ",", "**", "****", "NORTH WIND LTD, the seller of goods", "1. A", "1. B", "11. “Quoted”", '12. (x) y', "III", "IV. Roman", "2", "3) list item"]
+
+
+def odd_documents(n, seed=1):
+    """Texts of lines that one rule or another asks for, of every class and of any order."""
+    r = random.Random(seed)
+    for k in range(n):
+        pool = r.sample(_ODD, r.choice([4, 8, 20, 60, len(_ODD)]))
+        text = [r.choice(pool) for _ in range(r.choice([1, 2, 3, 5, 8, 15, 30, 60, 120]))]
+        if r.random() < 0.3:
+            text = [f"{i + 1}. {r.choice(['Scope', 'Price', 'Duty'])} Of {r.choice(['Goods', 'Work'])}" if r.random() < 0.4 else x for i, x in enumerate(text)]
+        if r.random() < 0.15:
+            text[:0] = ["Contents", *(f"Item {i} .... {i}" for i in range(r.randint(5, 12)))]
+        if r.random() < 0.2:
+            text = [x for y in text for x in (y, "")]
+        if r.random() < 0.15:
+            text = [x for y in text for x in ("<a id='z'></a>", y, "Some words of a body that follow on it, and they are long enough to count for it.")]
+        if k % 10 == 0:
+            text += ["word " * 9000] + [f"{r.randint(60, 99)}. Deck Item {i % 3}" for i in range(r.choice([5, 6, 24]))] + ["PRESS RELEASE NOW"] * r.randint(0, 9)
+            r.shuffle(text)
+        yield "\n".join(text) + r.choice(["", "\n", "\r\n"])
+
+
+def test_one_pass_gives_the_sections_of_the_windows(spark):
+    texts = list(odd_documents(300))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_key int, raw string").repartition(4).persist()
+    classes = {r.doc_key: r.regime for r in survey.signals(docs).select("doc_key", "regime").collect()}
+    assert len(set(classes.values())) >= 6 and all(document.regime_of(t) == classes[k] for k, t in enumerate(texts))
+    of = lambda df: sorted((r.asDict() for r in df.collect()), key=lambda r: (r["doc_key"], r["order"]))
+    assert of(sections.sectionise(docs)) == of(sections.sectionise_by_windows(docs))
+
+
+def test_sections_are_neither_shuffled_nor_written(spark):
+    docs = spark.createDataFrame([("a", "# A\n\ntext")], "doc_key string, raw string")
+    plan = sections.sectionise(docs)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and not any(x in plan for x in ("Exchange", "Window", "Sort"))
+
+
+def test_malformed_text_is_replaced(spark):
+    docs = spark.sql("SELECT 7 AS doc_key, CAST(unhex('2320FF410A') AS STRING) AS raw")
+    assert [r.title for r in sections.sectionise(docs).collect()] == ["\ufffdA"]
+
+
+def test_paths_of_a_long_document(spark):
+    rows = [(1, k, k - 1 if k % 50 else None) for k in range(20000)]
+    found = outline.with_paths(spark.createDataFrame(rows, "doc_key int, `order` int, parent int")).orderBy("order").collect()
+    assert [r.depth for r in found] == [min(k % 50, outline.DEPTH_LIMIT) for k in range(20000)]
+    assert found[60].path == list(range(50, 61))
+
+
+def test_rows_are_dealt_out_before_they_are_multiplied(spark, tmp_path):
+    parts = spark.range(20000).select(F.col("id").alias("p_partkey"), F.lit("red ring").alias("p_name"))
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = cases.case_rows(spark, str(tmp_path), ["@N", "@L"])
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 40000 and max(sizes) < 20000
+    assert spread(parts.limit(1), "p_partkey", 2).rdd.getNumPartitions() == 1
