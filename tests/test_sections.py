@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark import cases
-from foliospark.operators import document, lines, outline, sections, survey
+from foliospark.operators import document, lines, masking, outline, sections, survey
 from foliospark.sources.documents import spread
 
 
@@ -176,3 +176,9 @@ def test_rows_are_dealt_out_before_they_are_multiplied(spark, tmp_path):
     sizes = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert sum(sizes) == 40000 and max(sizes) < 20000
     assert spread(parts.limit(1), "p_partkey", 2).rdd.getNumPartitions() == 1
+
+
+def test_masking_in_one_pass_is_that_of_the_columns(spark):
+    docs = spark.createDataFrame([*enumerate(odd_documents(120, 7)), (-1, None)], "doc_key int, raw string")
+    assert sorted(masking.masked(docs).collect(), key=repr) == sorted(masking.masked_by_columns(docs).collect(), key=repr)
+    assert masking.masked(docs)._jdf.queryExecution().toString().count("regexp_extract_all") == 0
