@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark import cases
+from foliospark import cases, queries
 from foliospark.operators import document, lines, masking, outline, sections, survey
+from foliospark.plans import index
 from foliospark.sources.documents import spread
 
 
@@ -182,3 +183,18 @@ def test_masking_in_one_pass_is_that_of_the_columns(spark):
     docs = spark.createDataFrame([*enumerate(odd_documents(120, 7)), (-1, None)], "doc_key int, raw string")
     assert sorted(masking.masked(docs).collect(), key=repr) == sorted(masking.masked_by_columns(docs).collect(), key=repr)
     assert masking.masked(docs)._jdf.queryExecution().toString().count("regexp_extract_all") == 0
+
+
+def test_payloads_carry_each_expression_once(spark):
+    rows = [("d", 0, ["<table><tr><td>x</td></tr></table>", ""], []), ("d", 1, [""], []), ("e", 0, [], ["blue box"])]
+    found = index.payloads(spark.createDataFrame(rows, "doc_key string, `order` int, tables array<string>, figures array<string>").repartition(2))
+    got = [(r.doc_key, r.order, r.table_summaries, r.figure_kinds) for r in found.orderBy("doc_key", "order").collect()]
+    assert got == [("d", 0, ["A table of 1 column and no data rows."], None), ("e", 0, None, ["unreadable"])]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("subtotal") < 10
+
+
+def test_document_records_are_their_sql(spark):
+    found = queries.doc_meta(spark, "/root/testdata/sf0.001").collect()
+    items = {r.l_orderkey for r in queries.table(spark, "/root/testdata/sf0.001", "lineitem").select("l_orderkey").distinct().collect()}
+    orders = [r.o_orderkey for r in queries.table(spark, "/root/testdata/sf0.001", "orders").collect()]
+    assert sorted(tuple(r) for r in found) == sorted((f"order__{k}", int(k in items), 2) for k in orders)
